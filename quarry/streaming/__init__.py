@@ -1,0 +1,4 @@
+"""No streaming operators: the catalog engine works on bounded tables only.
+
+The package is kept so that a streaming source has a place once one is asked for.
+"""

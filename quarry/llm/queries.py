@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import byte_bpe, decontaminate, license_scan, line_dedup, pii, sharding, simhash, topk_search, toxicity
+from quarry.llm import byte_bpe, decontaminate, language_model, license_scan, line_dedup, pii, sharding, simhash, topk_search, toxicity
 from quarry.llm.common import table
 
 BPE_RANKS, BPE_PATTERN = "byte_bpe_multi_50k.tiktoken", public_tokenizers.PATTERN
@@ -19,6 +19,10 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.exact_topk(rows.where(F.col("id") % 50 == 0), rows, k=5)
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
+    "op2_language_model": op2_language_model,
     "op3_license_scan": op3_license_scan,
     "op4_toxicity": op4_toxicity,
     "op5_decontamination": op5_decontamination,

@@ -1,10 +1,448 @@
-"""Registered queries of the catalog engine and their SQL."""
+"""Registered queries of the catalog engine, over the driver's tables, and the same in DuckDB's SQL.
+
+The product view stands in for a catalog: parts with their name as title, type as category, retail price, size / 10 as
+stars and every tenth key a bestseller, joined to the vector of their key.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions import spell, textnorm
+from quarry.functions.encoders import HashingEncoder
+from quarry.functions.vectors import cosine, l2_normalize
+from quarry.operators import ann, dedup, etl, filters, knn, present
+from quarry.operators.shard import shard_rows
+from quarry.plans.engine import catalog_vocabulary, ranked_results
+from quarry.sources.artifacts import corpus_stats
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
+
+
+def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    key = F.col("p_partkey")
+    return part.select(
+        key.alias("row_id"), key.alias("id"), F.when(key % 3 == 0, F.concat(F.lit("A"), (key % 50).cast("string"))).alias("asin"),
+        F.concat(F.lit("u"), key.cast("string")).alias("url"), F.col("p_name").alias("title"), F.col("p_type").alias("category_name"),
+        F.col("p_retailprice").alias("price"), (F.col("p_size") / 10.0).alias("stars"), (key % 10 == 0).alias("isBestSeller"),
+    )
+
+
+PRODUCT_SQL = """
+    SELECT p_partkey AS row_id, p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'A' || CAST(p_partkey % 50 AS VARCHAR) END AS asin,
+        'u' || CAST(p_partkey AS VARCHAR) AS url, p_name AS title, p_type AS category_name, p_retailprice AS price,
+        CAST(p_size AS DOUBLE) / 10.0 AS stars, p_partkey % 10 = 0 AS "isBestSeller" FROM part"""
+KEY_SQL = """coalesce('s:' || nullif(asin, ''), CASE WHEN id <> 0 THEN 'n:' || CAST(id AS VARCHAR) END, 's:' || nullif(url, ''))"""
+DOT_SQL = "list_sum(list_transform(list_zip({a}, {b}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
+L2_SQL = "list_sum(list_transform(list_zip({a}, {b}), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2)))"
+
+
+def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return list(vectors(spark, sf_dir).where("row_id = 0").first()["embedding"])
+
+
+# ---------- nearest neighbours ----------
+
+
+@query(f"""
+    SELECT vec_id AS row_id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+    FROM (SELECT e.vec_id, {DOT_SQL.format(a="e.embedding", b="q.embedding")} AS score
+        FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)
+    ORDER BY score DESC, row_id LIMIT 10""")
+def knn_exact_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = knn.search(vectors(spark, sf_dir), first_vector(spark, sf_dir), 10)
+    return found.select("row_id", F.round("_score", 6).alias("score"), F.col("_rank").alias("rank"))
+
+
+@query(f"""
+    SELECT vec_id AS row_id, round(d, 6) AS distance, CAST(row_number() OVER (ORDER BY d, vec_id) AS INTEGER) AS rank
+    FROM (SELECT e.vec_id, {L2_SQL.format(a="e.embedding", b="q.embedding")} AS d
+        FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)
+    ORDER BY d, row_id LIMIT 10""")
+def knn_exact_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = knn.search(vectors(spark, sf_dir), first_vector(spark, sf_dir), 10, "l2")
+    return found.select("row_id", F.round(-F.col("_score"), 6).alias("distance"), F.col("_rank").alias("rank"))
+
+
+@query(f"""
+    SELECT query_id, row_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS rank FROM (
+            SELECT q.vec_id AS query_id, e.vec_id AS row_id, {DOT_SQL.format(a="e.embedding", b="q.embedding")} AS score
+            FROM embeddings e, embeddings q WHERE q.label = 3 AND q.vec_id % 25 = 3)) WHERE rank <= 3""")
+def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "embeddings").where("label = 3 AND vec_id % 25 = 3")
+    found = knn.search_batch(vectors(spark, sf_dir), own.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), 3)
+    return found.select("query_id", "row_id", F.round("_score", 6).alias("score"), F.col("_rank").alias("rank"))
+
+
+FLAGSHIP = {"price_min": 905.0, "category_name": "n", "stars_min": 0.5, "brand": "ignored"}
+
+
+@query(f"""
+    WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0),
+    p AS ({PRODUCT_SQL}),
+    pool AS (
+        SELECT e.vec_id AS row_id, {DOT_SQL.format(a="e.embedding", b="q.embedding")} AS score FROM embeddings e, q
+        ORDER BY score DESC, row_id LIMIT 100),
+    ranked AS (SELECT row_id, row_number() OVER (ORDER BY score DESC, row_id) AS rank FROM pool),
+    passed AS (
+        SELECT p.*, rank, {KEY_SQL} AS k FROM p JOIN ranked USING (row_id)
+        WHERE coalesce(price, 0) >= 905 AND contains(lower(category_name), 'n') AND stars >= 0.5),
+    best AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY rank) AS n FROM passed)
+    SELECT row_id, title, category_name, price, CAST(rank AS INTEGER) AS rank FROM best WHERE n = 1 ORDER BY rank LIMIT 5""")
+def search_pool_filter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = ann.FlatIndex(vectors(spark, sf_dir)).search(first_vector(spark, sf_dir), knn.candidate_pool(5))
+    found = ranked_results(products(spark, sf_dir), hits, FLAGSHIP, 5, keep_rank=True)
+    return found.select("row_id", "title", "category_name", "price", F.col("_rank").alias("rank"))
+
+
+# ---------- filters ----------
+
+
+def _filter_query(name: str, wanted: dict, where: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return filters.apply_filters(products(spark, sf_dir), wanted).select("row_id", "title", "price", "stars")
+
+    run.__name__ = name
+    query(f"SELECT row_id, title, price, stars FROM ({PRODUCT_SQL}) WHERE {where}")(run)
+
+
+_filter_query("filter_price_range", {"price_min": 920, "price_max": 960.5}, "coalesce(price, 0) BETWEEN 920 AND 960.5")
+_filter_query("filter_category_substr", {"category_name": "MALL"}, "contains(lower(category_name), 'mall')")
+_filter_query("filter_category_anyof", {"category_name": ["Promo", "arge"]}, "contains(lower(category_name), 'promo') OR contains(lower(category_name), 'arge')")
+_filter_query("filter_category_none", {"category_name": []}, "false")
+_filter_query("filter_stars", {"stars_min": 1.5, "stars_max": 3.0}, "stars BETWEEN 1.5 AND 3.0")
+_filter_query("filter_bestseller", {"isBestSeller": True}, '"isBestSeller"')
+_filter_query("filter_unknown_keys", {"brand": "x", "category": "y", "price_max": None}, "true")
+
+
+@query(f"""
+    SELECT row_id, price IS NULL AS missing, isnan(coalesce(price, 0)) AS blank FROM (
+        SELECT row_id, CASE WHEN row_id % 4 = 0 THEN CAST('NaN' AS DOUBLE) WHEN row_id % 4 = 1 THEN NULL ELSE price END AS price
+        FROM ({PRODUCT_SQL}))
+    WHERE NOT (coalesce(price, 0) < 950) AND NOT (coalesce(price, 0) > 980 AND NOT isnan(coalesce(price, 0)))""")
+def filter_nan_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = products(spark, sf_dir)
+    price = F.when(F.col("row_id") % 4 == 0, F.lit(float("nan"))).when(F.col("row_id") % 4 == 1, None).otherwise(F.col("price"))
+    found = filters.apply_filters(p.withColumn("price", price), {"price_min": 950, "price_max": 980})
+    return found.select("row_id", F.col("price").isNull().alias("missing"), F.isnan(F.coalesce("price", F.lit(0.0))).alias("blank"))
+
+
+# ---------- catalog preparation ----------
+
+NATIONS = ("NATION_1", "NATION_4", "NATION_7", "NATION_13", "NATION_20")
+_IN = ", ".join(f"'{n}'" for n in NATIONS)
+
+
+def _supplier_catalog(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    goods = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"), F.col("s_nationkey").cast("long").alias("category_id"))
+    kinds = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("category_name"))
+    return goods, kinds
+
+
+@query(f"""
+    SELECT s_suppkey AS id_x, s_name AS title, CAST(s_nationkey AS BIGINT) AS category_id, CAST(n_nationkey AS BIGINT) AS id_y, n_name AS category_name
+    FROM supplier LEFT JOIN nation ON s_nationkey IS NOT DISTINCT FROM n_nationkey WHERE n_name IN ({_IN})""")
+def catalog_left_join_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return etl.keep_categories(etl.left_join_categories(*_supplier_catalog(spark, sf_dir)), NATIONS)
+
+
+@query("SELECT n_name AS category_name, count(*) AS count FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey WHERE n_name IS NOT NULL GROUP BY ALL")
+def category_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    goods = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pid"), F.col("c_nationkey").alias("category_id"))
+    kinds = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("category_name"))
+    return etl.value_counts(etl.left_join_categories(goods, kinds), "category_name")
+
+
+@query("""
+    WITH p AS (SELECT s_suppkey AS sid, nullif(s_nationkey, 3) AS category_id FROM supplier),
+    c AS (SELECT nullif(n_nationkey, 5) AS id, n_name AS category_name FROM nation)
+    SELECT sid, category_id, id, category_name FROM p LEFT JOIN c ON category_id IS NOT DISTINCT FROM id""")
+def null_safe_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    goods = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sid"), F.nullif("s_nationkey", F.lit(3)).alias("category_id"))
+    kinds = table(spark, sf_dir, "nation").select(F.nullif("n_nationkey", F.lit(5)).alias("id"), F.col("n_name").alias("category_name"))
+    return etl.left_join_categories(goods, kinds)
+
+
+@query("SELECT count(*) AS n, max(len(embedding)) AS dim FROM embeddings")
+def corpus_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_stats(vectors(spark, sf_dir))
+
+
+@query(f"""
+    WITH p AS (SELECT *, {KEY_SQL} AS k FROM ({PRODUCT_SQL})),
+    r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY price DESC, row_id) AS n FROM p)
+    SELECT row_id, k AS key FROM r WHERE n = 1""")
+def dedup_first_truthy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = products(spark, sf_dir)
+    ranked = p.withColumn("key", dedup.dedup_key(p)).withColumn("_rank", F.struct(-F.col("price"), "row_id"))
+    return dedup.keep_best(ranked, F.col("key")).select("row_id", "key")
+
+
+@query("""
+    WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS pos, count(*) OVER () AS n FROM orders)
+    SELECT o_orderkey, CAST(ntile(7) OVER (ORDER BY pos) - 1 AS INTEGER) AS shard FROM o""")
+def shard_ntile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    return shard_rows(rows, 7, "o_orderdate", "o_orderkey").select("o_orderkey", "shard")
+
+
+# ---------- vectors ----------
+
+
+@query("""
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (vec_id % 3)) AS v FROM embeddings),
+    n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM v)
+    SELECT vec_id, round(norm, 6) AS norm, round(abs(CASE WHEN norm = 0 THEN v[1] ELSE v[1] / norm END), 6) AS first,
+        CAST(CASE WHEN norm = 0 THEN 0 ELSE 1 END AS DOUBLE) AS unit FROM n""")
+def l2_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.functions.vectors import norm
+
+    raw = F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") % 3))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", raw.alias("v")).withColumn("u", l2_normalize(F.col("v")))
+    return rows.select("vec_id", F.round(norm(F.col("v")), 6).alias("norm"), F.round(F.abs(F.col("u")[0]), 6).alias("first"), F.round(norm(F.col("u")), 6).alias("unit"))
+
+
+@query(f"""
+    WITH p AS (
+        SELECT {DOT_SQL.format(a="a.embedding", b="b.embedding")} / sqrt({DOT_SQL.format(a="a.embedding", b="a.embedding")})
+            / sqrt({DOT_SQL.format(a="b.embedding", b="b.embedding")}) AS cos, CAST(a.label = b.label AS INTEGER) AS label
+        FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+    SELECT round(avg(pow(cos - label, 2)), 6) AS loss FROM p""")
+def pair_cosine_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"), F.col("label").alias("other_label"))
+    pairs = e.join(other, "vec_id").withColumn("pair", (F.col("label") == F.col("other_label")).cast("double"))
+    return knn.pair_loss(pairs, cosine(F.col("embedding"), F.col("other")), "pair").select(F.round("loss", 6).alias("loss"))
+
+
+_CENTROIDS = """
+    c AS (SELECT label AS cell, list(m ORDER BY i) AS centroid FROM (
+        SELECT label, i, round(avg(x), 6) AS m FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings)
+        GROUP BY label, i) GROUP BY label),
+    a AS (SELECT e.vec_id, e.embedding, c.cell, row_number() OVER (
+            PARTITION BY e.vec_id ORDER BY {dot} DESC, c.cell) AS n FROM embeddings e, c)""".format(dot=DOT_SQL.format(a="e.embedding", b="c.centroid"))
+
+
+def _label_index(spark: SparkSession, sf_dir: str) -> ann.IvfIndex:
+    """An inverted file whose centroids are the mean vectors of the labels."""
+    import numpy as np
+
+    each = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    rows = each.groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("m")).collect()  # labels x dimensions
+    centroids = np.zeros((max(r["label"] for r in rows) + 1, max(r["i"] for r in rows) + 1))
+    for r in rows:
+        centroids[r["label"], r["i"]] = r["m"]
+    return ann.IvfIndex(ann.assign_cells(vectors(spark, sf_dir), centroids), centroids)
+
+
+@query(f"WITH {_CENTROIDS} SELECT vec_id AS row_id, CAST(cell AS INTEGER) AS cell FROM a WHERE n = 1")
+def ivf_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _label_index(spark, sf_dir).cells.select("row_id", "cell")
+
+
+@query(f"""
+    WITH {_CENTROIDS}, q AS (SELECT embedding FROM embeddings WHERE vec_id = 0),
+    probe AS (SELECT c.cell FROM c, q ORDER BY {DOT_SQL.format(a="c.centroid", b="q.embedding")} DESC, c.cell LIMIT 1)
+    SELECT a.vec_id AS row_id, round({DOT_SQL.format(a="a.embedding", b="q.embedding")}, 6) AS score
+    FROM a, q WHERE n = 1 AND cell = (SELECT cell FROM probe) ORDER BY score DESC, row_id LIMIT 10""")
+def ivf_probe1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _label_index(spark, sf_dir).search(first_vector(spark, sf_dir), 10)
+    return found.select("row_id", F.round("_score", 6).alias("score"))
+
+
+@query()
+def kmeans_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the exact ten nearest that four probes of a KMeans inverted file find."""
+    v, q = vectors(spark, sf_dir), first_vector(spark, sf_dir)
+    index = ann.build_ivf(v, nlist=16, probes=4)
+    exact = knn.search(v, q, 10).select("row_id")
+    found = index.search(q, 10).select("row_id", F.lit(1).alias("hit"))
+    return exact.join(found, "row_id", "left").agg((F.count("hit") / F.count("*")).alias("recall"))
+
+
+@query("""
+    WITH w AS (SELECT p_partkey, unnest(string_split_regex(p_name, '\\s+')) AS w FROM part),
+    h AS (SELECT p_partkey, CAST(('0x' || substr(md5(w), 1, 8)) AS UBIGINT) % 64 AS place,
+        CASE WHEN substr(md5(w), 9, 1) < '8' THEN 1.0 ELSE -1.0 END AS s FROM w WHERE w <> ''),
+    t AS (SELECT p_partkey, place, sum(s) AS s FROM h GROUP BY ALL),
+    n AS (SELECT p_partkey, sqrt(sum(s * s)) AS norm FROM t GROUP BY ALL)
+    SELECT p_partkey AS row_id, CAST(place AS INTEGER) AS place, round(CAST(s / norm AS DOUBLE), 5) AS x FROM t JOIN n USING (p_partkey) WHERE s <> 0""")
+def encode_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = HashingEncoder(64).encode(products(spark, sf_dir).select("row_id", "title"), "title")
+    return rows.select("row_id", F.posexplode("embedding").alias("place", "x")).where("x <> 0").withColumn("x", F.round(F.col("x").cast("double"), 5))
+
+
+# ---------- spelling ----------
+
+LCS_SQL = """list_reduce(list_concat([[CAST(0 AS INTEGER) for i in range(len({b}) + 1)]], [[CAST(unicode(ch) AS INTEGER)] for ch in string_split({a}, '')]),
+    lambda row, ch: list_reduce(list_concat([[CAST(0 AS INTEGER)]], [[CAST(j AS INTEGER)] for j in range(1, len({b}) + 1)]),
+        lambda acc, j: list_append(acc, CASE WHEN unicode({b}[j[1]]) = ch[1] THEN row[j[1]] + 1 ELSE greatest(row[j[1] + 1], acc[j[1]]) END)))[-1]"""
+#: Misspellings made by rule from the names' words: a letter dropped, doubled or replaced.
+_WORDS_SQL = "SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part"
+_TYPOS_SQL = f"""
+    SELECT DISTINCT unnest([w, substr(w, 1, 1) || substr(w, 3), w || substr(w, length(w)), 'x' || substr(w, 2), upper(w), substr(w, 1, 2)]) AS word FROM ({_WORDS_SQL})"""
+
+
+def _name_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("token")).distinct()
+
+
+def _typos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.col("token")
+    n = F.char_length(w)
+    forms = F.array(w, F.concat(F.substring(w, 1, 1), F.substring(w, F.lit(3), n)), F.concat(w, F.substring(w, n, F.lit(1))), F.concat(F.lit("x"), F.substring(w, F.lit(2), n)), F.upper(w), F.substring(w, 1, 2))
+    return _name_words(spark, sf_dir).select(F.explode(forms).alias("word")).distinct()
+
+
+@query(f"SELECT DISTINCT lower(trim(w)) AS token FROM ({_WORDS_SQL}) WHERE trim(w) <> ''")
+def vocab_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spell.normalize_vocabulary(_name_words(spark, sf_dir))
+
+
+@query(f"""
+    SELECT a.w AS a, b.w AS b, round(200.0 * {LCS_SQL.format(a="a.w", b="b.w")} / (length(a.w) + length(b.w)), 4) AS ratio
+    FROM ({_WORDS_SQL}) a, ({_WORDS_SQL}) b""")
+def fuzz_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _name_words(spark, sf_dir)
+    pairs = words.select(F.col("token").alias("a")).crossJoin(words.select(F.col("token").alias("b")))
+    return pairs.withColumn("ratio", F.round(spell.fuzz_ratio(F.col("a"), F.col("b")), 4))
+
+
+_CORRECT_SQL = f"""
+    best AS (SELECT word, token, row_number() OVER (PARTITION BY word ORDER BY lcs / n DESC, token) AS r FROM (
+        SELECT t.word, v.w AS token, {LCS_SQL.format(a="lower(t.word)", b="v.w")} AS lcs, length(t.word) + length(v.w) AS n
+        FROM typos t, ({_WORDS_SQL}) v WHERE t.word <> '') WHERE 200 * lcs >= 80 * n)"""
+
+
+@query(f"""
+    WITH typos AS ({_TYPOS_SQL}), {_CORRECT_SQL}
+    SELECT t.word, coalesce(b.token, lower(t.word)) AS corrected FROM typos t LEFT JOIN best b ON b.word = t.word AND r = 1""")
+def spell_correct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spell.correct_words(_typos(spark, sf_dir), spell.normalize_vocabulary(_name_words(spark, sf_dir)))
+
+
+@query(f"""
+    WITH q AS (SELECT s_suppkey AS query_id, 'Red  xlue ' || lower(s_name) || ' grren' AS query FROM supplier),
+    ws AS (SELECT query_id, unnest(w) AS w, unnest(range(len(w))) AS pos FROM (SELECT query_id, list_filter(string_split_regex(query, '\\s+'), lambda x: x <> '') AS w FROM q)),
+    typos AS (SELECT DISTINCT w AS word FROM ws), {_CORRECT_SQL},
+    f AS (SELECT query_id, string_agg(coalesce(b.token, lower(ws.w)), ' ' ORDER BY pos) AS corrected FROM ws LEFT JOIN best b ON b.word = ws.w AND r = 1 GROUP BY query_id)
+    SELECT query_id, query, corrected, corrected <> query AS changed FROM q JOIN f USING (query_id)""")
+def spell_correct_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    queries = s.select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("Red  xlue "), F.lower("s_name"), F.lit(" grren")).alias("query"))
+    return spell.correct_queries(queries, spell.normalize_vocabulary(_name_words(spark, sf_dir)))
+
+
+# ---------- text normalization ----------
+
+
+#: Titles with sizes, packs, prices and noise around each part's name.
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.concat_ws(" ", F.col("p_name"), F.concat(F.col("p_size").cast("string"), F.lit('"')), F.lit("12oz 3-piece set of 5 grey iv 4.5 stars 20 reviews save 10% rs 99.50 bestseller 2 in 1"), F.concat(F.col("p_size").cast("string"), F.lit(" lbs")))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), F.lower(title).alias("t"))
+
+
+_TITLE_SQL = """(SELECT p_partkey AS row_id, lower(p_name || ' ' || p_size || '" 12oz 3-piece set of 5 grey iv 4.5 stars 20 reviews save 10% rs 99.50 bestseller 2 in 1 ' || p_size || ' lbs') AS t FROM part)"""
+
+
+def _fold_sql(pairs: list[tuple[str, str]]) -> str:
+    out = "t"
+    for pattern, to in pairs:
+        out = f"regexp_replace({out}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to.replace('$', chr(92))}', 'gi')"
+    return f"SELECT row_id, {out} AS cleaned FROM {_TITLE_SQL}"
+
+
+def _stage_query(name: str, stage: Callable, pairs: list[tuple[str, str]]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _titles(spark, sf_dir).select("row_id", stage(F.col("t")).alias("cleaned"))
+
+    run.__name__ = name
+    query(_fold_sql(pairs))(run)
+
+
+_rules = textnorm.rules
+_stage_query("clean_units", textnorm.normalize_units, _rules.UNITS)
+_stage_query("clean_abbreviations", textnorm.expand_abbreviations, _rules.ABBREVIATIONS)
+_stage_query("clean_packs", textnorm.normalize_packs, _rules.PACKS)
+_stage_query("clean_noise", textnorm.drop_noise, [(p, " ") for p in _rules.NOISE])
+_stage_query("clean_prices", textnorm.drop_prices, [(p, " ") for p in _rules.PRICES])
+_stage_query("clean_colors", textnorm.normalize_colors, _rules.COLORS)
+_stage_query("clean_roman", textnorm.normalize_roman, _rules.ROMAN)
+
+
+@query("SELECT page_id, regexp_replace(translate(html, '&', '+'), '<[^>]+>', ' ', 'g') AS plain FROM pages")
+def strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = F.translate("html", "&", "+")  # SQL cannot resolve entities
+    return table(spark, sf_dir, "pages").select("page_id", textnorm.strip_html(html).alias("plain"))
+
+
+@query()
+def clean_text_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return textnorm.clean_text(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "cleaned").select("doc_id", "cleaned")
+
+
+@query()
+def make_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return present.embedding_text(products(spark, sf_dir)).select("row_id", "text")
+
+
+@query()
+def vocabulary_of_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog_vocabulary(products(spark, sf_dir))
+
+
+@query("SELECT p_partkey AS row_id, coalesce(p_name, '') || ' ' || coalesce(nullif(p_brand, 'Brand#1'), '') AS text FROM part")
+def legacy_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    brand = F.nullif("p_brand", F.lit("Brand#1"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), present.legacy_text(F.col("p_name"), brand).alias("text"))
+
+
+# ---------- presentation ----------
+
+
+@query("""SELECT p_partkey AS row_id, CASE WHEN p_partkey % 7 = 0 THEN 'N/A' ELSE CAST(round(round(p_retailprice * 85, 2), 2) AS VARCHAR) END AS inr FROM part""")
+def price_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = F.when(F.col("p_partkey") % 7 != 0, F.col("p_retailprice"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), present.price_inr(price).alias("inr"))
+
+
+@query(f"""SELECT coalesce(title, '') AS page_content, row_id, url FROM (SELECT row_id, url, CASE WHEN row_id % 5 > 0 THEN title END AS title FROM ({PRODUCT_SQL}))""")
+def page_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = products(spark, sf_dir).withColumn("title", F.when(F.col("row_id") % 5 > 0, F.col("title")))
+    return present.page_content(p).select("page_content", "metadata.row_id", "metadata.url")
+
+
+@query(f"""SELECT row_id, coalesce(title, 'Unknown Product') AS title, coalesce(category_name, 'N/A') AS category, coalesce(price, 0) AS price_usd
+    FROM (SELECT row_id, CASE WHEN row_id % 5 > 0 THEN title END AS title, CASE WHEN row_id % 4 > 0 THEN category_name END AS category_name, CASE WHEN row_id % 3 > 0 THEN price END AS price FROM ({PRODUCT_SQL}))""")
+def result_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = products(spark, sf_dir)
+    holes = {"title": 5, "category_name": 4, "price": 3}
+    for c, m in holes.items():
+        p = p.withColumn(c, F.when(F.col("row_id") % m > 0, F.col(c)))
+    cards = present.card(p.withColumn("imgUrl", F.col("row_id").cast("string")))
+    return cards.select(F.col("imgUrl").cast("long").alias("row_id"), "title", "category", "price_usd")

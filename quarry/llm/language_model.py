@@ -38,8 +38,10 @@ FOLDS, HELD_OUT, SEED = 7, 2, 97
 CONTEXT_WORDS, SHAPES = 2000, 17 * 16
 SWEEPS, BURN_IN = 3, 1
 STRENGTH_ROOT, STRENGTH = 10.0, 5.0
-#: Tokens packed at once by a task; tokens a part should hold.
-FLUSH_TOKENS, PART_TOKENS = 400_000, 3_000_000
+#: Tokens packed at once by a task, at least and at most; tokens of one part in it; tokens a part should hold.
+FLUSH_TOKENS, MOST_TOKENS, SLICE_TOKENS, PART_TOKENS = 400_000, 1_200_000, 20_000, 3_000_000
+#: Partial sums of log10 probabilities travel as multiples of this.
+UNIT = 1e-8
 #: A flush reports words that make up this share of it; frequent words are picked among those.
 FREQUENT_SHARE = 1 / 20_000
 END = b" end"  # no word holds a space
@@ -69,6 +71,11 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    """Differences, the first number first: cumsum gives the numbers back."""
+    return np.diff(ascending, prepend=ascending.dtype.type(0))
+
+
 def _hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, SEED)
 
@@ -125,7 +132,7 @@ def _spread(word: np.ndarray, leaf: np.ndarray, frequent: np.ndarray, parts: int
 def _parts(rows: DataFrame, frequent: list[bytes], parts: int) -> DataFrame:
     """(part, words, types, entries): one packed row a part."""
     leaf_of = {w: i + 1 for i, w in enumerate(frequent)}
-    n_frequent = len(frequent)
+    n_frequent, most = len(frequent), min(MOST_TOKENS, max(FLUSH_TOKENS, SLICE_TOKENS * parts))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: dict[bytes, int] = {}
@@ -139,13 +146,17 @@ def _parts(rows: DataFrame, frequent: list[bytes], parts: int) -> DataFrame:
             hashes = np.array([_hash(w) for w in vocabulary], dtype=np.uint64)
             leaves = np.array([leaf_of.get(w) or n_frequent + 1 + _shape(w) for w in vocabulary], dtype=np.int64)
             often = np.array([w in leaf_of for w in vocabulary], dtype=bool)
+            by_hash = np.argsort(hashes)
+            rank = np.empty(len(by_hash), dtype=np.int64)
+            rank[by_hash] = np.arange(len(by_hash))
+            hashes, leaves, often = hashes[by_hash], leaves[by_hash], often[by_hash]
             sizes = np.array([len(x) for x in local])
-            token, row = np.concatenate(local), np.repeat(np.arange(len(local)), sizes)
+            token, row = rank[np.concatenate(local)], np.repeat(np.arange(len(local)), sizes)
             leaf = np.concatenate([[0], leaves[token[:-1]]])
             leaf[np.cumsum(sizes)[:-1]] = 0  # a text begins
             flag = leaf | (np.repeat(np.array(train), sizes).astype(np.int64) << 15)
             part = _spread(hashes[token], leaf, often[token], parts)
-            order = np.argsort((part << 36) | (token << 16) | flag, kind="stable")
+            order = np.lexsort(((token << 16) | flag, part))
             part, token, flag, row = part[order], token[order], flag[order], row[order]
             new = np.ones(len(order), dtype=bool)
             new[1:] = (np.diff(part) != 0) | (np.diff(token) != 0) | (np.diff(flag) != 0) | (np.diff(row) != 0)
@@ -157,7 +168,7 @@ def _parts(rows: DataFrame, frequent: list[bytes], parts: int) -> DataFrame:
             for a, b in zip(cuts, cuts[1:]):
                 first = np.flatnonzero(np.append(True, np.diff(token[a:b]) != 0))
                 runs = np.diff(np.append(first, b - a))
-                blobs.append(_pack(hashes[token[a:b][first]], runs.astype(np.uint32), flag[a:b].astype(np.uint16), row[a:b].astype(np.uint32), count[a:b].astype(np.uint32), np.array([base], dtype=np.int64)))
+                blobs.append(_pack(_steps(hashes[token[a:b][first]]), runs.astype(np.uint32), flag[a:b].astype(np.uint16), row[a:b].astype(np.uint32), count[a:b].astype(np.uint32), np.array([base], dtype=np.int64)))
             return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]], pa.int64()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
         for batch in batches:
@@ -169,7 +180,7 @@ def _parts(rows: DataFrame, frequent: list[bytes], parts: int) -> DataFrame:
                 local.append(np.array([ids.setdefault(w, len(ids)) for w in words], dtype=np.int64))
                 train.append(learn)
                 tokens += len(words)
-                if tokens >= FLUSH_TOKENS:
+                if tokens >= most:
                     yield flush()
                     ids, local, train, base, tokens = {}, [], [], None, 0
         if local:
@@ -179,6 +190,7 @@ def _parts(rows: DataFrame, frequent: list[bytes], parts: int) -> DataFrame:
         columns = [[] for _ in range(5)]
         for blob in group["blob"]:
             words, runs, flag, row, count, base = _unpack(blob)
+            words = np.cumsum(words, dtype=np.uint64)
             for to, x in zip(columns, (np.repeat(words, runs), flag & 0x7FFF, flag >> 15, row.astype(np.int64) + base[0], count)):
                 to.append(x)
         word, leaf, train, row, count = map(np.concatenate, columns)
@@ -192,7 +204,7 @@ def _parts(rows: DataFrame, frequent: list[bytes], parts: int) -> DataFrame:
         docs, place = np.unique(row, return_inverse=True)
         return pd.DataFrame({
             "part": [group["part"].iloc[0]],
-            "words": [_pack(word[new_word])],
+            "words": [_pack(_steps(word[new_word]))],
             "types": [_pack(types.astype(np.uint32), leaf[at], seen.astype(np.uint32))],
             "entries": [_pack(entries.astype(np.uint32), place.astype(np.uint32), count, docs)],
         })
@@ -250,7 +262,8 @@ class Part:
 
     def __init__(self, number: int, words: bytes, types: bytes, shared: Shared):
         self.number, self.shared = number, shared
-        self.word, (self.types, self.leaf, self.seen) = _unpack(words)[0], _unpack(types)
+        self.word = np.cumsum(_unpack(words)[0], dtype=np.uint64)
+        self.types, self.leaf, self.seen = _unpack(types)
         self.seen = self.seen.astype(np.int64)
         self.starts = np.cumsum(self.types.astype(np.int64)) - self.types
         self.of = np.repeat(np.arange(len(self.word)), self.types)
@@ -314,6 +327,8 @@ def _sum_over_parts(parts: DataFrame, run) -> dict[str, np.ndarray]:
                 for name, x in run(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py()).items():
                     sums[name] = sums[name] + x if name in sums else x
         for name, x in sums.items():
+            if not len(x):
+                continue
             at = np.flatnonzero(np.append(x[:-1], 1))  # the last one tells the length
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at, pa.int64()), pa.array(x[at].astype(np.float64))], ["name", "at", "x"])
 
@@ -375,14 +390,15 @@ def _train(parts: DataFrame, frequent: list[bytes]) -> Shared:
 
 
 def _scores(parts: DataFrame, shared: Shared) -> DataFrame:
-    """(rid, base_score, score, counts) of each document's tokens in each part."""
+    """(rid, base_score, score, n_tokens, n_known): each part packs its sums by bucket of documents, each bucket adds them up."""
+    buckets = shuffle_partitions(parts.sparkSession)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 part = Part(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), shared)
                 entries, place, count, docs = _unpack(batch.column(3)[i].as_py())
-                count = count.astype(np.float64)
+                count, n = count.astype(np.float64), len(docs)
                 own = np.add.reduceat(part.seen, part.starts)
                 of_word = np.where(part.rare, own, shared.often_counts[np.maximum(part.often, 0)] if len(shared.often) else 0)
                 base = np.log10((of_word + 1) / (shared.tokens + shared.known + 1))
@@ -393,15 +409,28 @@ def _scores(parts: DataFrame, shared: Shared) -> DataFrame:
                         total += part.predictive(k + 1)
                 score = np.log10(total / (SWEEPS - BURN_IN))
                 word = np.repeat(part.of, entries)
-                n = len(docs)
-                known = np.bincount(place, count * (of_word > 0)[word], minlength=n).astype(np.int64)
-                tokens = np.bincount(place, count, minlength=n).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs), pa.array(np.bincount(place, count * base[word], minlength=n)), pa.array(np.bincount(place, count * np.repeat(score, entries), minlength=n)), pa.array(tokens), pa.array(known)],
-                    ["rid", "base_score", "score", "n_tokens", "n_known"],
-                )
+                base, score = (np.rint(np.bincount(place, count * x, minlength=n) / -UNIT).astype(np.int64) for x in (base[word], np.repeat(score, entries)))
+                tokens, known = (np.bincount(place, x, minlength=n).astype(np.uint32) for x in (count, count * (of_word > 0)[word]))
+                bucket = (docs + (docs >> 33) * 7919) % buckets
+                order = np.argsort(bucket, kind="stable")  # docs ascend inside a bucket
+                cuts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)).tolist() + [n]
+                blobs = [_pack(_steps(docs[at]), base[at], score[at], tokens[at], tokens[at] - known[at]) for at in (order[a:b] for a, b in zip(cuts, cuts[1:]))]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cuts[:-1]], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        docs, *sums = map(np.concatenate, zip(*map(_unpack_sums, group["blob"])))
+        rid, at = np.unique(docs, return_inverse=True)
+        base, score, tokens, unknown = (np.bincount(at, x, minlength=len(rid)) for x in sums)
+        counts = {"n_tokens": tokens.astype(np.int64), "n_known": (tokens - unknown).astype(np.int64)}
+        return pd.DataFrame({"rid": rid, "base_score": base * -UNIT, "score": score * -UNIT} | counts)
+
+    packed = parts.mapInArrow(over, "bucket long, blob binary")
+    return packed.groupBy("bucket").applyInPandas(add, "rid long, base_score double, score double, n_tokens long, n_known long")
+
 
-    return parts.mapInArrow(over, "rid long, base_score double, score double, n_tokens long, n_known long")
+def _unpack_sums(blob: bytes) -> list[np.ndarray]:
+    docs, *sums = _unpack(blob)
+    return [np.cumsum(docs), *sums]
 
 
 def score_texts(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
@@ -413,8 +442,7 @@ def score_texts(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     n_parts = max(shuffle_partitions(docs.sparkSession), math.ceil(tokens / PART_TOKENS))
     parts = materialize(_parts(packed, frequent, n_parts), "lm-parts")
     shared = _train(parts, frequent)
-    sums = _scores(parts, shared).groupBy("rid").agg(*[F.sum(c).alias(c) for c in ("base_score", "score", "n_tokens", "n_known")])
-    found = rows.select("rid", "doc_id", "held_out").join(sums, "rid")
+    found = rows.select("rid", "doc_id", "held_out").join(_scores(parts, shared), "rid")
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(shared.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -10,7 +10,8 @@ class. Exact containment of the template's shingles then decides.
 Only texts that hold one of a few words of a template are cut: the words are chosen so that their shingles outnumber those a
 match may miss, hence a text without any of them cannot match.
 
-Defined cases: null and empty texts match nothing; a text or template of under five words is one shingle; several
+Defined cases: null and empty texts match nothing; a text or template of under five words is one shingle, so
+such a template matches texts equal to it only; several
 windows that match one template are one row with the best containment and the first such window; repeated rows stay
 apart by their row; other columns are not read; an empty table gives no rows.
 """
@@ -19,6 +20,8 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,33 +85,35 @@ def size_classes(templates: dict[str, str]) -> dict[int, dict[str, list[str]]]:
     return dict(found)
 
 
-def _template_rows(spark: SparkSession, templates: dict[str, list[str]], bands: int) -> DataFrame:
-    rows = spark.createDataFrame([(name, words) for name, words in templates.items()], "license string, words array<string>")
+def _cuts(size: int) -> Column:
+    """(size, start) of each window of a class."""
+    return F.transform(F.sequence(F.lit(0), F.size("words") - 1, F.lit(size)), lambda at: F.struct(F.lit(size).alias("size"), at.alias("at")))
+
+
+def _template_rows(spark: SparkSession, classes: dict[int, dict[str, list[str]]], bands: int) -> DataFrame:
+    rows = spark.createDataFrame([(size, name, words) for size, own in classes.items() for name, words in own.items()], "size int, license string, words array<string>")
     rows = rows.withColumn("wanted", _shingles(F.col("words")))
-    return rows.select("license", "wanted", F.explode(_bands(F.col("wanted"), bands)).alias("b")).select("license", "wanted", "b.band", "b.value")
+    return rows.select("size", "license", "wanted", F.explode(_bands(F.col("wanted"), bands)).alias("b")).select("size", "license", "wanted", "b.band", "b.value")
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT, bands: int = BANDS) -> DataFrame:
     """(doc_id, license, containment, first_word, n_windows): one row for each document row and license it holds."""
     spark, templates = docs.sparkSession, TEMPLATES if templates is None else templates
-    rows = texts(docs).withColumn("row", F.monotonically_increasing_id())
-    needed = sorted({w for text in templates.values() for w in must_words(words_of(text), containment)})
-    low = F.lower(F.col("text"))
-    out = None
-    for size, own in sorted(size_classes(templates).items()):
-        words_needed = sorted({w for name in own for w in must_words(own[name], containment)} & set(needed))
-        holds = F.lit(False)
-        for w in words_needed:
-            holds = holds | low.contains(w)
-        cut = rows.where(holds).select("row", "doc_id", F.regexp_extract_all(low, F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)).alias("words"))
-        starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(size))
-        windows = cut.where(F.size("words") > 0).select("row", "doc_id", F.explode(starts).alias("at"), "words").select("row", "doc_id", "at", F.slice("words", F.col("at") + 1, F.lit(2 * size)).alias("words"))
-        windows = windows.withColumn("held", _shingles(F.col("words"))).drop("words")
-        banded = windows.select("row", "doc_id", "at", "held", F.explode(_bands(F.col("held"), bands)).alias("b")).select("row", "doc_id", "at", "held", "b.band", "b.value")
-        pairs = banded.join(F.broadcast(_template_rows(spark, own, bands)), ["band", "value"])  # bands x templates rows, a fixed number
-        share = F.size(F.array_intersect("held", "wanted")) / F.size("wanted")
-        part = pairs.select("row", "doc_id", "license", "at", share.alias("share")).where(F.col("share") >= containment)
-        out = part if out is None else out.unionByName(part)
+    classes = size_classes(templates)
+    rows = texts(docs).withColumn("row", F.monotonically_increasing_id()).withColumn("low", F.lower("text"))
+    holds = {size: reduce(or_, [F.col("low").contains(w) for w in sorted(set().union(*(must_words(x, containment) for x in own.values())))]) for size, own in classes.items()}
+    rows = rows.select("row", "doc_id", "low", *[h.alias(f"holds_{size}") for size, h in holds.items()])
+    rows = rows.where(reduce(or_, [F.col(f"holds_{size}") for size in classes], F.lit(False)))
+    rows = rows.withColumn("words", F.regexp_extract_all("low", F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))).drop("low").where(F.size("words") > 0)
+    no_cuts = F.array().cast("array<struct<size:int,at:int>>")
+    cuts = [F.when(F.col(f"holds_{size}"), _cuts(size)).otherwise(no_cuts) for size in classes]
+    windows = rows.select("row", "doc_id", "words", F.explode(F.concat(no_cuts, *cuts)).alias("cut"))
+    windows = windows.select("row", "doc_id", "cut.size", "cut.at", F.slice("words", F.col("cut.at") + 1, 2 * F.col("cut.size")).alias("words"))
+    windows = windows.withColumn("held", _shingles(F.col("words"))).drop("words")
+    banded = windows.select("row", "doc_id", "size", "at", "held", F.explode(_bands(F.col("held"), bands)).alias("b")).select("row", "doc_id", "size", "at", "held", "b.band", "b.value")
+    pairs = banded.join(F.broadcast(_template_rows(spark, classes, bands)), ["size", "band", "value"])  # bands x templates rows, a fixed number
+    share = F.size(F.array_intersect("held", "wanted")) / F.size("wanted")
+    out = pairs.select("row", "doc_id", "license", "at", share.alias("share")).where(F.col("share") >= containment)
     best = F.max(F.struct("share", -F.col("at"))).alias("best")
     found = out.groupBy("row", "doc_id", "license").agg(best, F.count_distinct("at").alias("n_windows"))
     return found.select("doc_id", "license", F.col("best.share").alias("containment"), (-F.col("best.col2")).alias("first_word"), "n_windows")

@@ -46,4 +46,4 @@ def load_artifacts(spark: SparkSession, root: str) -> Artifacts:
 
 def corpus_stats(vectors: DataFrame, vector_col: str = "embedding") -> DataFrame:
     """(n, dim) in one pass."""
-    return vectors.agg(F.count("*").alias("n"), F.max(F.size(vector_col)).alias("dim"))
+    return vectors.agg(F.count("*").alias("n"), F.max(F.size(vector_col)).cast("long").alias("dim"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from typing import Any, Protocol
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from quarry.functions.spell import SpellCorrector, vocabulary
 from quarry.functions.textnorm import clean_text
 from quarry.operators import ann, dedup, filters, knn, present
 from quarry.schema import SearchRequest, SearchResponse
-from quarry.sources import artifacts, sinks
+from quarry.sources import artifacts, readers, sinks
 
 
 class Searcher(Protocol):
@@ -49,8 +50,6 @@ class Engine:
         encoder = encoder or HashingEncoder(found.vectors.select(F.size("embedding").alias("n")).first()["n"])
         if "cell" in found.index.columns:
             means = found.index.groupBy("cell").agg(*[F.avg(F.col("embedding")[i]).alias(str(i)) for i in range(encoder.dim)]).orderBy("cell").collect()
-            import numpy as np
-
             centroids = np.zeros((max(r["cell"] for r in means) + 1, encoder.dim))
             for r in means:
                 centroids[r["cell"]] = r[1:]
@@ -134,6 +133,12 @@ def build_artifacts(spark: SparkSession, products: DataFrame | None, root: str,
     return time.time() - began
 
 
+def legacy_l2_index(spark: SparkSession, vectors_path: str, path: str) -> int:
+    """Store raw vectors for exact L2 search; returns how many there are. `ann.FlatIndex(vectors, "l2")` searches them."""
+    sinks.write_parquet(readers.load_vectors(spark, vectors_path), path)
+    return spark.read.parquet(path).count()
+
+
 def legacy_embeddings(products: DataFrame, path: str, encoder: Encoder | None = None) -> bool:
     """Vectors of title and brand as one JSON object; False and no output without products."""
     if products.isEmpty():

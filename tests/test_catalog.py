@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from quarry.functions import sql
 from quarry.functions.encoders import HashingEncoder
-from quarry.operators import etl, filters, knn
+from quarry.operators import ann, etl, filters, knn
 from quarry.operators.shard import shard_rows
 from quarry.plans import cli, engine
 from quarry.sources import artifacts, readers, sinks
@@ -125,6 +126,23 @@ def test_legacy_embeddings(spark, files):
     assert not (files / "nothing").exists()
 
 
+def test_legacy_l2_index(spark, files):
+    spark.createDataFrame([(0, [3.0, 4.0]), (1, [0.0, 1.0])], "row_id long, embedding array<float>").write.parquet(str(files / "v"))
+    assert engine.legacy_l2_index(spark, str(files / "v"), str(files / "l2")) == 2
+    hits = ann.FlatIndex(spark.read.parquet(str(files / "l2")), "l2").search([0.0, 0.0], 2).orderBy("_rank").collect()
+    assert [(r["row_id"], r["_score"]) for r in hits] == [(1, -1.0), (0, -25.0)]
+    with pytest.raises(FileNotFoundError):
+        engine.legacy_l2_index(spark, str(files / "none"), str(files / "l2"))
+
+
+def test_sql_functions(spark):
+    sql.register(spark)
+    row = spark.sql("""SELECT vector_dot(array(1D, 2D), array(3D, 4D)) AS d, vector_l2_squared(array(1D), array(4D)) AS l,
+        vector_normalize(array(3D, 4D)) AS u, vector_normalize(array(0D)) AS z, vector_norm(array(3D, 4D)) AS n,
+        round(fuzz_ratio('furntiure', 'furniture'), 2) AS f, fuzz_ratio('', '') AS e, fuzz_ratio('', 'a') AS o""").first()
+    assert (row["d"], row["l"], row["u"], row["z"], row["n"], row["f"], row["e"], row["o"]) == (11.0, 9.0, [0.6, 0.8], [0.0], 5.0, 88.89, 100.0, 0.0)
+
+
 def test_config_and_logger(monkeypatch):
     monkeypatch.setenv("DATA_DIR", "/x")
     assert Config.from_env().data_dir == "/x"

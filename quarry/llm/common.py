@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.storage import materialize, shared_dir, shuffle_partitions
+
+__all__ = ["WHITE", "UPPER", "table", "materialize", "shared_dir", "shuffle_partitions", "texts", "ascii_lower", "crc_mod", "filter_rows"]
+
 #: ASCII white space, the set [\x20\x09-\x0D] that separates words and is stripped from lines.
 WHITE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -17,30 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not named and context._jsc.sc().getCheckpointDir().isDefined():
-        named = context._jsc.sc().getCheckpointDir().get()
-    if not named:
-        named = tempfile.mkdtemp(prefix="quarry-shared-")
-        context.setCheckpointDir(named)
-    return named
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: later passes reuse it, lost executors cost a re-read."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string): other columns, whatever their names, are not read; a null text is empty."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -54,3 +34,19 @@ def ascii_lower(text: Column) -> Column:
 def crc_mod(id_col: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo; -1 for a null id."""
     return F.coalesce(F.crc32(id_col.cast("string")) % modulus, F.lit(-1)).cast("int")
+
+
+def filter_rows(docs: DataFrame, make: Callable[[], Callable[[str], bool]], text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, for whose text (null: empty) the test that `make` builds in each task holds.
+
+    The decision is local to a row, so no row is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            at = batch.schema.names.index(text_col)
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                yield part.filter(pa.array([keep(t or "") for t in part.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -20,14 +20,14 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import texts
+from quarry.llm.common import filter_rows, texts
 
 SIMILARITY, RECALL, SEED = 0.8, 0.98, 1729
 #: Positions sampled by a repetition; share of embedded positions that may differ at the similarity bound; independent walks.
@@ -169,18 +169,33 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]], similarity: float, reca
 
 def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, start_word, end_word, distance, similarity): one row for each document row and item that it holds."""
+    out = None
+    for own in _item_blocks(items, block_bytes):
+        part = _scan(texts(docs), own, similarity, recall)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _item_blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of about block_bytes, one block at least."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where(F.col("text").isNotNull())
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(total / block_bytes))
-    out = None
     for k in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        part = _scan(texts(docs), [(r["item_id"], r["text"]) for r in own.collect()], similarity, recall)  # about block_bytes of items
-        out = part if out is None else out.unionByName(part)
-    return out
+        yield [(r["item_id"], r["text"]) for r in own.collect()]
+
 
+def drop_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without the rows that hold an item."""
+    for own in _item_blocks(items, block_bytes):
+        docs = filter_rows(docs, _no_leak(own, similarity, recall))
+    return docs
+
+
+def _no_leak(items: list[tuple[int, str]], similarity: float, recall: float) -> Callable[[], Callable[[str], bool]]:
+    def make() -> Callable[[str], bool]:
+        index = Index(items, similarity, recall)
+        return lambda text: not index.leaks(text)
 
-def drop_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs without those that hold an item; rows without doc_id stay."""
-    leaking = find_leaks(docs, items, similarity).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(leaking, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    return make

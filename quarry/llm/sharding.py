@@ -3,7 +3,7 @@
 Rows are shuffled by a seeded hash of their text within each source and ranked; the fractional rank
 (rank + 1/2) / rows of the source orders all rows, and equal cuts of that order give shards whose source mixture
 matches the whole and whose row counts differ by at most one (law `rows`). The seeded hash is that of the text, so
-equal texts stand side by side and stay together except where a cut falls between them.
+equal texts of a source stand side by side and stay together except where a cut falls between them.
 
 Ranking uses range partitions with per-partition offsets, so neither a hot source nor the whole table is ever ranked
 in one task, and no text is shuffled.

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import crc_mod, texts
+from quarry.llm.common import crc_mod, filter_rows, texts
 
 #: Bounds on the labelled rows that are learned from, on lexicon terms, on context words and on harmless words near a term.
 TRAIN_ROWS, MAX_TERMS, MAX_CONTEXT, MAX_BENIGN = 20_000, 1_000, 2_000, 20_000
@@ -318,6 +318,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that score as toxic; a doc_id is rejected with all its rows, rows without doc_id stay."""
-    rejected = score_documents(docs, labels, threshold).where("predicted = 1").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(rejected, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    """docs without the rows that score as toxic."""
+    model = fit(docs, labels, train_rows(F.col("doc_id")))
+
+    def make() -> Callable[[str], bool]:
+        scorer = Scorer(model)
+        return lambda text: scorer.score(text) < threshold
+
+    return filter_rows(docs, make)

@@ -7,7 +7,7 @@ the marks return to the documents as one bitmap each (64 positions a word); text
 Only DataFrame functions run.
 
 Defined cases: a null or empty text is one empty line; lines of under `min_chars` code points are kept;
-repeated rows of one doc_id count as one document and are treated alike; a null doc_id is one document that sorts first;
+rows that share a doc_id count as one document, each keeping its own bitmap; a null doc_id is one document that sorts first;
 a document that loses all its lines has an empty text; other columns pass through `dedup_lines`; empty tables give no rows.
 """
 
@@ -25,34 +25,42 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def _doc() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc")
+
+
+def _row() -> Column:
+    """Tells rows of one doc_id apart by their text."""
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("row")
+
+
 def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc, dropped array<long>): bit p % 64 of word p / 64 is set when line p goes; documents that lose nothing have no row."""
+    """(doc, row, dropped array<long>): bit p % 64 of word p / 64 is set when line p goes; rows that lose nothing are left out."""
     spark = docs.sparkSession
     bare = F.btrim(F.col("line"), F.lit(WHITE))
-    places = docs.select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-    places = places.select("doc", "pos", bare.alias("bare")).where(F.char_length("bare") >= min_chars)
+    places = docs.select(_doc(), _row(), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    places = places.select("doc", "row", "pos", bare.alias("bare")).where(F.char_length("bare") >= min_chars)
     key = ascii_lower(F.col("bare"))
-    places = places.select(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"), F.coalesce("doc", F.lit(-(1 << 63))).alias("doc"), "pos")
-    ranged = places.repartitionByRange(shuffle_partitions(spark), "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "pos")
-    groups = materialize(ranged.groupBy("h1", "h2", "doc").agg(F.collect_list("pos").alias("places")), "line-groups")
+    places = places.select(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"), "doc", F.struct("row", "pos").alias("place"))
+    ranged = places.repartitionByRange(shuffle_partitions(spark), "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "place")
+    groups = materialize(ranged.groupBy("h1", "h2", "doc").agg(F.collect_list("place").alias("places")), "line-groups")
     often = groups.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper")).where(F.col("n_docs") >= min_docs)
-    marks = groups.join(often, ["h1", "h2"]).where(F.col("doc") != F.col("keeper")).select("doc", F.explode("places").alias("pos"))
-    words = marks.groupBy("doc", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("mask"))
-    maps = words.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("masks"), F.max("word").alias("last"))
-    return maps.select("doc", F.transform(F.sequence(F.lit(0), F.col("last")), lambda w: F.coalesce(F.try_element_at("masks", w), F.lit(0).cast("long"))).alias("dropped"))
+    marks = groups.join(often, ["h1", "h2"]).where(F.col("doc") != F.col("keeper")).select("doc", F.explode("places").alias("p")).select("doc", "p.row", "p.pos")
+    words = marks.groupBy("doc", "row", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("mask"))
+    maps = words.groupBy("doc", "row").agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("masks"), F.max("word").alias("last"))
+    return maps.select("doc", "row", F.transform(F.sequence(F.lit(0), F.col("last")), lambda w: F.coalesce(F.try_element_at("masks", w), F.lit(0).cast("long"))).alias("dropped"))
 
 
 def mark_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with `_lines` (all lines) and `_kept` (those that stay)."""
-    marks = drop_bitmaps(docs, min_chars, min_docs).withColumnRenamed("doc", "_doc").withColumnRenamed("dropped", "_dropped")
-    own = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63)))
-    joined = docs.join(marks.hint("shuffle_hash"), own == F.col("_doc"), "left").withColumn("_lines", _lines(docs["text"]))
+    marks = drop_bitmaps(docs, min_chars, min_docs).select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.col("dropped").alias("_dropped"))
+    joined = docs.join(marks.hint("shuffle_hash"), (_doc() == F.col("_doc")) & (_row() == F.col("_row")), "left").withColumn("_lines", _lines(docs["text"]))
 
     def stays(_: Column, i: Column) -> Column:
         mask = F.coalesce(F.get("_dropped", F.floor(i / 64).cast("int")), F.lit(0).cast("long"))
         return F.getbit(mask, i % 64) == 0
 
-    return joined.withColumn("_kept", F.when(F.col("_dropped").isNull(), F.col("_lines")).otherwise(F.filter("_lines", stays))).drop("_doc", "_dropped")
+    return joined.withColumn("_kept", F.when(F.col("_dropped").isNull(), F.col("_lines")).otherwise(F.filter("_lines", stays))).drop("_doc", "_row", "_dropped")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -98,7 +97,3 @@ def build_index(vectors: DataFrame, kind: str = "hnsw", nlist: int | None = None
     if kind not in BUILDERS:
         raise ValueError("index_type must be one of: flat, hnsw, ivf")
     return BUILDERS[kind](vectors, nlist, links)
-
-
-def build_width(links: int) -> int:
-    return max(200, math.ceil(2 * links))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,17 +36,50 @@ def search(vectors: DataFrame, query: Sequence[float], n: int, metric: str = "ip
     return best.withColumn("_rank", F.row_number().over(ranks))
 
 
+def _best_of_batches(queries: list[tuple], n: int, metric: str):
+    """For each Arrow batch of (id, vector) the n best rows of every query."""
+    ids = [q for q, _ in queries]
+    wanted = [np.asarray(v, dtype=np.float64) for _, v in queries]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = np.asarray(batch.column(0))
+            x = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
+            out = []
+            for qid, q in zip(ids, wanted):
+                score = (x * q).sum(axis=1) if metric == "ip" else -((x - q) ** 2).sum(axis=1)  # one order of sums for every row
+                at = np.arange(len(score))
+                if len(score) > n:
+                    at = np.flatnonzero(score >= np.partition(score, len(score) - n)[len(score) - n])  # ties at the edge included
+                at = at[np.lexsort((own[at], -score[at]))[:n]]
+                out.append((np.full(len(at), qid), own[at], score[at]))
+            columns = [pa.array(np.concatenate(c)) for c in zip(*out)]
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", "row_id", "_score"])
+
+    return run
+
+
 def search_batch(vectors: DataFrame, queries: DataFrame, n: int, metric: str = "ip", id_col: str = "row_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
-    """(query_id, id, _score, _rank) for many queries; each broadcast holds at most BATCH_QUERIES of them."""
+    """(query_id, id, _score, _rank) for many queries with integer ids; blocks of at most about BATCH_QUERIES of them
+    travel with the tasks, each task keeps n rows a query and batch, and only those are shuffled."""
+    if metric not in ("ip", "l2"):
+        raise ValueError("metric must be one of: ip, l2")
     blocks = max(1, -(-queries.count() // BATCH_QUERIES))
+    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>"))
     out = None
     for k in range(blocks):
         own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == k)
-        pairs = vectors.select(id_col, vector_col).crossJoin(F.broadcast(own.select(query_id, query_vector)))
-        scored = pairs.select(query_id, id_col, _score(metric, F.col(vector_col), F.col(query_vector)).alias("_score"))
-        out = scored if out is None else out.unionByName(scored)
-    ranks = Window.partitionBy(query_id).orderBy(F.desc("_score"), id_col)
-    return out.withColumn("_rank", F.row_number().over(ranks)).where(F.col("_rank") <= n)
+        asked = [(r[0], r[1]) for r in own.select(F.col(query_id).cast("long"), query_vector).collect() if r[1] is not None]
+        if asked:
+            part = rows.mapInArrow(_best_of_batches(asked, n, metric), "query_id long, row_id long, _score double")
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = vectors.sparkSession.createDataFrame([], "query_id long, row_id long, _score double")
+    ranks = Window.partitionBy("query_id").orderBy(F.desc("_score"), "row_id")
+    best = out.withColumn("_rank", F.row_number().over(ranks)).where(F.col("_rank") <= n)
+    return best.withColumnsRenamed({"query_id": query_id, "row_id": id_col})
 
 
 def pair_loss(pairs: DataFrame, similarity: Column, label: str = "label") -> DataFrame:

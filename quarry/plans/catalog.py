@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import spell, textnorm
 from quarry.functions.encoders import HashingEncoder
-from quarry.functions.vectors import cosine, l2_normalize
+from quarry.functions.vectors import cosine, l2_normalize, norm
 from quarry.operators import ann, dedup, etl, filters, knn, present
 from quarry.operators.shard import shard_rows
 from quarry.plans.engine import catalog_vocabulary, ranked_results
@@ -220,8 +221,6 @@ def shard_ntile(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT vec_id, round(norm, 6) AS norm, round(abs(CASE WHEN norm = 0 THEN v[1] ELSE v[1] / norm END), 6) AS first,
         CAST(CASE WHEN norm = 0 THEN 0 ELSE 1 END AS DOUBLE) AS unit FROM n""")
 def l2_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quarry.functions.vectors import norm
-
     raw = F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") % 3))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", raw.alias("v")).withColumn("u", l2_normalize(F.col("v")))
     return rows.select("vec_id", F.round(norm(F.col("v")), 6).alias("norm"), F.round(F.abs(F.col("u")[0]), 6).alias("first"), F.round(norm(F.col("u")), 6).alias("unit"))
@@ -250,8 +249,6 @@ _CENTROIDS = """
 
 def _label_index(spark: SparkSession, sf_dir: str) -> ann.IvfIndex:
     """An inverted file whose centroids are the mean vectors of the labels."""
-    import numpy as np
-
     each = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
     rows = each.groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("m")).collect()  # labels x dimensions
     centroids = np.zeros((max(r["label"] for r in rows) + 1, max(r["i"] for r in rows) + 1))

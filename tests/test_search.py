@@ -90,6 +90,18 @@ def test_ties_go_to_the_smaller_id(spark):
     assert [r["row_id"] for r in knn.search(rows, [1.0], 3, "l2").orderBy("_rank").collect()] == [1, 3, 2]
 
 
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+@pytest.mark.parametrize("block", [2000, 2])
+def test_batch_search_equals_single_searches(spark, monkeypatch, metric, block):
+    monkeypatch.setattr(knn, "BATCH_QUERIES", block)
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(300)] + [(999, None)], "row_id long, embedding array<double>").repartition(5)
+    queries = [(10, [1.0, 0.0, 0.0]), (11, [0.0, 2.0, 1.0]), (12, [3.0, 1.0, 0.0]), (13, [6.0, 4.0, 1.0]), (14, [0.0, 0.0, 0.0])]
+    got = knn.search_batch(rows, spark.createDataFrame(queries, "query_id long, query_vector array<double>"), 4, metric).collect()
+    want = [(q, r["row_id"], r["_rank"]) for q, v in queries for r in knn.search(rows.where("embedding IS NOT NULL"), v, 4, metric).collect()]
+    assert sorted((r["query_id"], r["row_id"], r["_rank"]) for r in got) == sorted(want)
+    assert knn.search_batch(rows, spark.createDataFrame([], "query_id long, query_vector array<double>"), 4, metric).count() == 0
+
+
 def test_zero_vector_stays(spark):
     got = spark.createDataFrame([([0.0, 0.0],), ([3.0, 4.0],)], "v array<double>").select(l2_normalize(F.col("v")).alias("u")).collect()
     assert [list(r["u"]) for r in got] == [[0.0, 0.0], [0.6, 0.8]]

@@ -3,7 +3,8 @@
 Hashes of normalized lines are range-partitioned together with their document, positions sorted behind them; each
 partition streams (line, document) groups, so a line in a third of all documents spreads over many partitions and only
 one partial count of it leaves each. Frequent lines then mark all their places but those in their largest document, and
-the marks return to the documents as one bitmap each (64 positions a word); texts are joined with bitmaps only.
+the marks return to the documents as one bitmap each (64 positions a word); texts are joined with bitmaps only. Marks
+of hot lines, of which there can only be a few, come by broadcast, so no task gathers the places of one line.
 Only DataFrame functions run.
 
 Defined cases: a null or empty text is one empty line; lines of under `min_chars` code points are kept;
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import WHITE, ascii_lower, materialize, shuffle_partitions
 
 MIN_CHARS, MIN_DOCS = 20, 3
+#: A line is hot if it makes up the share 1 / (HOT_SHARE x shuffle partitions) of all (line, document) groups.
+HOT_SHARE = 4
 
 
 def _lines(text: Column) -> Column:
@@ -45,7 +48,15 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     ranged = places.repartitionByRange(shuffle_partitions(spark), "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "place")
     groups = materialize(ranged.groupBy("h1", "h2", "doc").agg(F.collect_list("place").alias("places")), "line-groups")
     often = groups.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper")).where(F.col("n_docs") >= min_docs)
-    marks = groups.join(often, ["h1", "h2"]).where(F.col("doc") != F.col("keeper")).select("doc", F.explode("places").alias("p")).select("doc", "p.row", "p.pos")
+    often = materialize(often, "frequent-lines")
+    hot_from = max(min_docs, groups.count() // (HOT_SHARE * shuffle_partitions(spark)))
+    hot = often.where(F.col("n_docs") >= hot_from)  # at most HOT_SHARE x partitions lines can be in so many documents
+    cold = often.where(F.col("n_docs") < hot_from)
+    met = groups.join(F.broadcast(hot.select("h1", "h2", F.col("keeper").alias("hot_keeper"))), ["h1", "h2"], "left")
+    columns = ["doc", "places", "keeper"]
+    gone = met.where(F.col("hot_keeper").isNotNull()).withColumnRenamed("hot_keeper", "keeper").select(columns)
+    gone = gone.unionByName(met.where(F.col("hot_keeper").isNull()).join(cold, ["h1", "h2"]).select(columns))
+    marks = gone.where(F.col("doc") != F.col("keeper")).select("doc", F.explode("places").alias("p")).select("doc", "p.row", "p.pos")
     words = marks.groupBy("doc", "row", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("mask"))
     maps = words.groupBy("doc", "row").agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("masks"), F.max("word").alias("last"))
     return maps.select("doc", "row", F.transform(F.sequence(F.lit(0), F.col("last")), lambda w: F.coalesce(F.try_element_at("masks", w), F.lit(0).cast("long"))).alias("dropped"))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, texts
+from quarry.llm.common import materialize, shuffle_partitions, texts
 from quarry.llm.components import components
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
@@ -105,7 +105,8 @@ def _near(a: str, b: str, bits: int) -> Column:
 
 def _cells(points: DataFrame) -> DataFrame:
     grid = F.array(*[F.struct(F.lit(i).alias("g"), F.col("pc").bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(grid_masks())])
-    return points.withColumn("at", F.explode(grid)).select("fp", "comp", F.col("at.g").alias("g"), F.col("at.cell").alias("cell"))
+    dealt = points.repartition(shuffle_partitions(points.sparkSession), "fp")  # the table is small, what it explodes to is not
+    return dealt.withColumn("at", F.explode(grid)).select("fp", "comp", F.col("at.g").alias("g"), F.col("at.cell").alias("cell"))
 
 
 def _with_components(points: DataFrame, edges: DataFrame | None) -> DataFrame:

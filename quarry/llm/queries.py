@@ -91,6 +91,23 @@ ORACLES: dict[str, str] = {
             FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op7_sharding": f"""
+        WITH crc AS (
+            SELECT list(list_reduce(list_prepend(i, [0 for k in range(8)]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+            FROM range(256) r(i)),
+        d AS (
+            SELECT doc_id, coalesce('=' || source, '') AS stratum, md5('{sharding.SEED}:' || coalesce(text, '')) AS mix,
+                list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes
+            FROM documents),
+        r AS (
+            SELECT *, (2 * (row_number() OVER (PARTITION BY stratum ORDER BY mix, doc_id) - 1) + 1) / (2 * count(*) OVER (PARTITION BY stratum)) AS frac FROM d),
+        p AS (SELECT *, row_number() OVER (ORDER BY frac, stratum, mix, doc_id) - 1 AS pos, count(*) OVER () AS n FROM r),
+        s AS (SELECT *, (pos * {sharding.SHARDS}) // n AS shard FROM p)
+        SELECT doc_id, CAST(len(bytes) + 1 AS BIGINT) AS size,
+            CAST(xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, crc.t[xor(c & 255, b) + 1])), 4294967295) AS BIGINT) AS text_crc32,
+            'rows' AS law, CAST(shard AS INTEGER) AS shard, CAST(pos - (shard * n + {sharding.SHARDS} - 1) // {sharding.SHARDS} AS BIGINT) AS slot,
+            CAST(NULL AS INTEGER) AS grown_shard
+        FROM s, crc""",
     "op10_line_dedup": """
         WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM parts),

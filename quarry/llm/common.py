@@ -21,8 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch of texts, where the session sets none: texts may be very long, so rows alone bound nothing.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    if spark.conf.get(BATCH_BYTES[0], None) is None:
+        spark.conf.set(*BATCH_BYTES)
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string): other columns, whatever their names, are not read; a null text is empty."""
+    _bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
@@ -49,4 +59,5 @@ def filter_rows(docs: DataFrame, make: Callable[[], Callable[[str], bool]], text
                 part = batch.slice(start, 500)
                 yield part.filter(pa.array([keep(t or "") for t in part.column(at).to_pylist()], pa.bool_()))
 
+    _bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -39,6 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores, dealt out to all of them; for work that costs far more than the shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
 
@@ -400,7 +406,7 @@ def strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def clean_text_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return textnorm.clean_text(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "cleaned").select("doc_id", "cleaned")
+    return textnorm.clean_text(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text", "cleaned").select("doc_id", "cleaned")
 
 
 @query()

@@ -1,13 +1,10 @@
-"""Benchmark decontamination by CGK random-walk embedding, bit-sampling LSH and exact edit verification.
+"""Benchmark decontamination by untouched pieces and exact edit verification.
 
 Texts and items are sequences of words (runs of letters, digits and underscores, lower-cased). An item of n words leaks where a passage lies within
-floor((1 - similarity) * n) word edits of it. Windows of the item's size are embedded by the CGK walk, which
-repeats or advances a symbol by random bits so that few edits stay few differing positions; each repetition samples
-positions of the embedding, and windows that agree with an item in one repetition are verified by exact edit distance
-against the best passage around the window.
-
-Which windows are embedded: k edits leave one of k + 1 disjoint pieces of an item untouched, so a window needs no
-embedding unless it holds a piece of an item of its size at its place. This skips only windows that cannot be verified.
+floor((1 - similarity) * n) word edits of it. k edits leave one of k + 1 disjoint pieces of an item untouched, so every
+such passage holds a piece of the item, at most k words off its place: the words around each such piece are verified, all
+of them. A bit-parallel scan gives the exact least distance of the item to any passage there; the passage itself is
+sought only where that lies within the bound. Nothing is sampled, so no passage is lost at any item size or kind of edit.
 
 Items are broadcast in blocks of bounded bytes; more blocks mean more passes. Defined cases: null and empty texts leak
 nothing; null and empty items match nothing; equal items leak separately; of several passages of one item in a text the
@@ -29,9 +26,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import filter_rows, texts
 
-SIMILARITY, RECALL, SEED = 0.8, 0.98, 1729
-#: Positions sampled by a repetition; share of embedded positions that may differ at the similarity bound; independent walks.
-SAMPLED, DIFFER, WALKS = 2, 0.6, 4
+SIMILARITY = 0.8
 #: Bytes of items that one broadcast may hold.
 BLOCK_BYTES = 16 << 20
 _words = re.compile(r"\w+").findall
@@ -42,10 +37,6 @@ def edits_allowed(n: int, similarity: float = SIMILARITY) -> int:
     return int((1 - similarity) * n + 1e-9)
 
 
-def repetitions(recall: float = RECALL, sampled: int = SAMPLED, differ: float = DIFFER) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** sampled))
-
-
 def passage_distance(item: list[int], words: list[int]) -> tuple[int, int, int]:
     """(distance, start, end) of the passage of words nearest to item; least distance, then least start, then least end."""
     row = [(0, j) for j in range(len(words) + 1)]  # (edits, start of the passage)
@@ -63,78 +54,87 @@ def passage_distance(item: list[int], words: list[int]) -> tuple[int, int, int]:
     return d, s, j
 
 
+def least_distance(masks: dict[int, int], n: int, words: list[int]) -> int:
+    """Least distance of an item of n words to any passage of words; masks: the bits of each word's places in the item."""
+    full, last = (1 << n) - 1, 1 << (n - 1)
+    more, less, score = full, 0, n  # bits: where a column of the edit table rises and falls
+    best = score
+    for w in words:
+        eq = masks.get(w, 0)
+        down = eq | less
+        across = (((eq & more) + more) ^ more) | eq
+        up, fall = less | (full & ~(across | more)), more & across
+        if up & last:
+            score += 1
+        elif fall & last:
+            score -= 1
+            best = min(best, score)
+        up, fall = up << 1, fall << 1
+        more, less = full & (fall | ~(down | up)), full & up & down
+    return best
+
+
 class Index:
-    """Items, their pieces, and the buckets of their sampled embeddings."""
+    """Items and their pieces."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY, recall: float = RECALL):
+    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY):
         self.similarity, self.symbols = similarity, {}
         self.items: list[tuple[int, np.ndarray]] = []
         for item_id, text in items:
             words = _words((text or "").lower())
             if words:
                 self.items.append((item_id, np.array([self.symbols.setdefault(w, len(self.symbols) + 1) for w in words], dtype=np.int64)))
-        rng = np.random.default_rng(SEED)
-        n_rep, longest = repetitions(recall), max((len(x) for _, x in self.items), default=1)
-        self.walk = rng.integers(0, 2, size=(WALKS, 2 * longest, len(self.symbols) + 2), dtype=np.int8)
-        self.samples: dict[int, np.ndarray] = {}  # by item size: (repetition, sampled position)
-        by_size = defaultdict(list)
-        for k, (_, x) in enumerate(self.items):
-            by_size[len(x)].append(k)
-        self.buckets: dict[tuple, list[int]] = defaultdict(list)
-        for n, own in by_size.items():
-            self.samples[n] = np.random.default_rng((SEED, n)).integers(0, 2 * n, size=(n_rep, SAMPLED))
-            for k, rows in zip(own, self.signatures(np.stack([self.items[k][1] for k in own]))):
-                for rep, sig in enumerate(rows):
-                    self.buckets[n, rep, sig].append(k)
-        self.pieces: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))  # by length: hash -> (size, offset)
-        for _, x in self.items:
+        self.masks: dict[int, dict[int, int]] = {}
+        self.pieces: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))  # by length: hash -> (item, offset)
+        for i, (_, x) in enumerate(self.items):
             k = edits_allowed(len(x), similarity)
             q = max(1, len(x) // (k + 1))
             for p in range(k + 1):
-                if p * q + q <= len(x) and (place := (len(x), p * q)) not in (of := self.pieces[q][int(_gram_hash(x[p * q : p * q + q], q)[0])]):
-                    of.append(place)
+                if p * q + q <= len(x):
+                    self.pieces[q][int(_gram_hash(x[p * q : p * q + q], q)[0])].append((i, p * q))
         self.filters = {q: _bitmap(np.array(list(of), dtype=np.int64)) for q, of in self.pieces.items()}
 
-    def signatures(self, windows: np.ndarray) -> list[list[tuple]]:
-        """For each window of one size its sampled symbols, by repetition."""
-        count, n = windows.shape
-        padded = np.hstack([windows, np.full((count, 1), -1)])
-        out = np.empty((WALKS, count, 2 * n), dtype=np.int64)
-        rows = np.arange(count)
-        for w in range(WALKS):
-            at = np.zeros(count, dtype=np.int64)
-            for j in range(2 * n):
-                out[w, :, j] = symbol = padded[rows, at]
-                at = np.minimum(at + self.walk[w, j, symbol], n)
-        picks = self.samples[n]
-        sampled = np.stack([out[r % WALKS][:, picks[r]] for r in range(len(picks))], axis=1)
-        return [[tuple(sig) for sig in row] for row in sampled.tolist()]
+    def masks_of(self, i: int) -> dict[int, int]:
+        """The bits of each word's places in item i."""
+        if i not in self.masks:
+            own = self.masks[i] = defaultdict(int)
+            for p, w in enumerate(self.items[i][1].tolist()):
+                own[w] |= 1 << p
+        return self.masks[i]
 
     def leaks(self, text: str) -> list[tuple[int, int, int, int, float]]:
         """(item_id, start_word, end_word, distance, similarity) of each item that the text holds."""
         get = self.symbols.get
         words = np.array([get(w, 0) for w in _words(text.lower())], dtype=np.int64)
-        windows = defaultdict(set)
+        starts = defaultdict(set)
         for q, of in self.pieces.items():
             if len(words) < q:
                 continue
             grams = _gram_hash(words, q)
             for at in np.flatnonzero(self.filters[q][grams & _MASK]).tolist():
-                for n, offset in of.get(int(grams[at]), ()):
-                    windows[n].add(max(0, min(at - offset, len(words) - n)))
-        best: dict[int, tuple[int, int, int]] = {}
-        for n, starts in windows.items():
-            starts = sorted(starts)
-            padded = np.concatenate([words, np.zeros(max(0, n - len(words)), dtype=np.int64)])
-            block = padded[np.array(starts)[:, None] + np.arange(n)]
-            slack = edits_allowed(n, self.similarity)
-            for start, rows in zip(starts, self.signatures(block)):
-                for k in {k for rep, sig in enumerate(rows) for k in self.buckets.get((n, rep, sig), ())}:
-                    low = max(0, start - 2 * slack)
-                    d, a, b = passage_distance(self.items[k][1].tolist(), words[low : start + n + 2 * slack].tolist())
-                    if d <= slack and (found := (d, low + a, low + b)) < best.get(k, (n + 1, 0, 0)):
-                        best[k] = found
-        return [(self.items[k][0], a, b, d, 1 - d / len(self.items[k][1])) for k, (d, a, b) in sorted(best.items())]
+                for i, offset in of.get(int(grams[at]), ()):
+                    starts[i].add(at - offset)
+        out = []
+        for i, own in sorted(starts.items()):
+            item_id, item = self.items[i]
+            n, slack = len(item), edits_allowed(len(item), self.similarity)
+            spans: list[list[int]] = []  # a passage may begin and end slack words off its piece's place; overlapping spans are one
+            for start in sorted(own):
+                low, high = max(0, start - slack), min(len(words), start + n + slack)
+                if spans and low <= spans[-1][1]:
+                    spans[-1][1] = high
+                else:
+                    spans.append([low, high])
+            found = []
+            for low, high in spans:
+                near = words[low:high].tolist()
+                if least_distance(self.masks_of(i), n, near) <= slack:
+                    d, a, b = passage_distance(item.tolist(), near)
+                    found.append((d, low + a, low + b))
+            if found:
+                d, a, b = min(found)
+                out.append((item_id, a, b, d, 1 - d / n))
+        return out
 
 
 _MASK = (1 << 20) - 1
@@ -155,9 +155,9 @@ def _bitmap(hashes: np.ndarray) -> np.ndarray:
     return bits
 
 
-def _scan(docs: DataFrame, items: list[tuple[int, str]], similarity: float, recall: float) -> DataFrame:
+def _scan(docs: DataFrame, items: list[tuple[int, str]], similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items, similarity, recall)
+        index = Index(items, similarity)
         for batch in batches:
             found = [(d, *leak) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for leak in index.leaks(t)]
             columns = list(zip(*found)) or [()] * 6
@@ -167,11 +167,11 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]], similarity: float, reca
     return docs.mapInArrow(run, SCHEMA)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, start_word, end_word, distance, similarity): one row for each document row and item that it holds."""
     out = None
     for own in _item_blocks(items, block_bytes):
-        part = _scan(texts(docs), own, similarity, recall)
+        part = _scan(texts(docs), own, similarity)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -186,16 +186,16 @@ def _item_blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[int,
         yield [(r["item_id"], r["text"]) for r in own.collect()]
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def drop_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without the rows that hold an item."""
     for own in _item_blocks(items, block_bytes):
-        docs = filter_rows(docs, _no_leak(own, similarity, recall))
+        docs = filter_rows(docs, _no_leak(own, similarity))
     return docs
 
 
-def _no_leak(items: list[tuple[int, str]], similarity: float, recall: float) -> Callable[[], Callable[[str], bool]]:
+def _no_leak(items: list[tuple[int, str]], similarity: float) -> Callable[[], Callable[[str], bool]]:
     def make() -> Callable[[str], bool]:
-        index = Index(items, similarity, recall)
+        index = Index(items, similarity)
         return lambda text: not index.leaks(text)
 
     return make

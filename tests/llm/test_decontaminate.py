@@ -93,3 +93,28 @@ def test_empty_tables(spark):
     assert dc.find_leaks(frame(spark, [(1, "a b c")]), items).count() == 0
     assert dc.drop_leaks(frame(spark, [(1, "a b c")]), items).count() == 1
     assert dc.find_leaks(frame(spark, []), items).count() == 0
+
+
+def kinds_of_edits(rng, words, k, kind):
+    """words with k edits of one kind at k different places."""
+    places, out = set(rng.sample(range(len(words)), k)), []
+    for p, w in enumerate(words):
+        if p in places and kind == "insert":
+            out.append(f"new{p}")
+        out.append(f"new{p}" if p in places and kind == "substitute" else w)
+        if p in places and kind == "delete":
+            out.pop()
+    return out
+
+
+@pytest.mark.parametrize("kind", ["insert", "delete", "substitute"])
+@pytest.mark.parametrize("size", [15, 30, 59, 150])
+def test_every_copy_at_the_bound_is_found(kind, size):
+    rng = random.Random(size)
+    items = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(size))) for i in range(40)]
+    index, found = dc.Index(items), 0
+    for i, t in items:
+        words = kinds_of_edits(rng, split(t), dc.edits_allowed(size), kind)
+        text = " ".join(f"w{rng.randrange(3000)}" for _ in range(80)) + " " + " ".join(words) + " " + prose(rng, 80)
+        found += i in {x[0] for x in index.leaks(text)}
+    assert found == len(items)

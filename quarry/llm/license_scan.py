@@ -1,11 +1,10 @@
-"""License scans by MinHash bands over overlapping windows, in DataFrame functions only.
+"""License scans by key shingles over overlapping windows, in DataFrame functions only.
 
 Templates and texts are sequences of words (runs of letters and digits, lower-cased) and their five-word shingles.
 Templates of like size form a class; texts are cut into windows of twice the class's size at half their width, so every
-passage of a template's size lies whole in one window. Bands of one MinHash row each retrieve templates: a window that
-holds a template at the least containment shares a band value with it with probability 1 - (1 - J)^bands, J being
-their Jaccard similarity, at least containment * n / window; BANDS makes that over 0.998 for the smallest template of a
-class. Exact containment of the template's shingles then decides.
+passage of a template's size lies whole in one window. A match may miss a share of 1 - containment of a template's
+shingles, so of one shingle more than that it holds at least one: these keys retrieve templates, and none is lost.
+Exact containment of the template's shingles then decides.
 
 Only texts that hold one of a few words of a template are cut: the words are chosen so that their shingles outnumber those a
 match may miss, hence a text without any of them cannot match.
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import texts
 
-SHINGLE, CONTAINMENT, BANDS = 5, 0.8, 40
+SHINGLE, CONTAINMENT = 5, 0.8
 #: Notices as their licenses word them.
 TEMPLATES = {
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
@@ -71,11 +70,6 @@ def _shingles(words: Column, k: int = SHINGLE) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice(words, i, k), " "))))
 
 
-def _bands(shingles: Column, bands: int = BANDS) -> Column:
-    """array of (band, value): the least seeded hash of the shingles for each band."""
-    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.array_min(F.transform(shingles, lambda h: F.xxhash64(b, h))).alias("value")))
-
-
 def size_classes(templates: dict[str, str]) -> dict[int, dict[str, list[str]]]:
     """Templates by size class: powers of two of their number of words."""
     found = defaultdict(dict)
@@ -90,13 +84,15 @@ def _cuts(size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size("words") - 1, F.lit(size)), lambda at: F.struct(F.lit(size).alias("size"), at.alias("at")))
 
 
-def _template_rows(spark: SparkSession, classes: dict[int, dict[str, list[str]]], bands: int) -> DataFrame:
+def _template_rows(spark: SparkSession, classes: dict[int, dict[str, list[str]]], containment: float) -> DataFrame:
+    """(size, license, wanted, key): a row for each key, a shingle more than a match may miss."""
     rows = spark.createDataFrame([(size, name, words) for size, own in classes.items() for name, words in own.items()], "size int, license string, words array<string>")
     rows = rows.withColumn("wanted", _shingles(F.col("words")))
-    return rows.select("size", "license", "wanted", F.explode(_bands(F.col("wanted"), bands)).alias("b")).select("size", "license", "wanted", "b.band", "b.value")
+    n_keys = F.floor((1 - containment) * F.size("wanted") + 1e-9).cast("int") + 1
+    return rows.select("size", "license", "wanted", F.explode(F.slice("wanted", F.lit(1), n_keys)).alias("key"))
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT, bands: int = BANDS) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, license, containment, first_word, n_windows): one row for each document row and license it holds."""
     spark, templates = docs.sparkSession, TEMPLATES if templates is None else templates
     classes = size_classes(templates)
@@ -110,8 +106,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
     windows = rows.select("row", "doc_id", "words", F.explode(F.concat(no_cuts, *cuts)).alias("cut"))
     windows = windows.select("row", "doc_id", "cut.size", "cut.at", F.slice("words", F.col("cut.at") + 1, 2 * F.col("cut.size")).alias("words"))
     windows = windows.withColumn("held", _shingles(F.col("words"))).drop("words")
-    banded = windows.select("row", "doc_id", "size", "at", "held", F.explode(_bands(F.col("held"), bands)).alias("b")).select("row", "doc_id", "size", "at", "held", "b.band", "b.value")
-    pairs = banded.join(F.broadcast(_template_rows(spark, classes, bands)), ["size", "band", "value"])  # bands x templates rows, a fixed number
+    wanted = _template_rows(spark, classes, containment)
+    keys = [r["key"] for r in wanted.select("key").distinct().collect()]
+    keyed = windows.withColumn("key", F.explode(F.filter("held", lambda h: h.isin(keys))))
+    pairs = keyed.join(F.broadcast(wanted), ["size", "key"])  # a fifth of the templates' shingles, a fixed number
     share = F.size(F.array_intersect("held", "wanted")) / F.size("wanted")
     out = pairs.select("row", "doc_id", "license", "at", share.alias("share")).where(F.col("share") >= containment)
     best = F.max(F.struct("share", -F.col("at"))).alias("best")

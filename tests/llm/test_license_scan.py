@@ -69,3 +69,12 @@ def test_short_templates_and_empty_table(spark):
 def test_no_python_in_the_plan(spark):
     plan = ls.scan_licenses(frame(spark, [(1, "x")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "ArrowEval" not in plan
+
+
+def test_short_lines_inside_long_texts_are_all_found(spark):
+    """Each line at every offset to the windows, deep in running text."""
+    rng = random.Random(12)
+    lines = [ls.TEMPLATES[k] for k in ("mit-line", "cc-by-nc-4.0-line", "apache-2.0-line")]
+    rows = [(i, prose(rng, 60 + i % 32) + " " + lines[i // 32 % 3] + " " + prose(rng, 60)) for i in range(960)]
+    want = brute(rows)
+    assert len(want) >= len(rows) and run(spark, rows) == want

@@ -1,16 +1,22 @@
 """Language-model scores from a hierarchical Pitman-Yor model with Gibbs-sampled seating.
 
-Each token is drawn in the restaurant of its context; all context restaurants share one parent, the root, over a uniform
-base on the V known tokens and one unknown token. A context is the previous word if it is one of the CONTEXT_WORDS most
-frequent ones, else the previous word's shape (length and last letter); a text begins in a context of its own. The
-number of restaurants is thus bounded while every token is counted. Seating is sampled by Gibbs sweeps: each sweep
-removes all customers of a dish from a restaurant and reseats them one by one given the rest; tables of the context
-restaurants are the customers of the root. Predictive probabilities are averaged over the sweeps after burn-in.
-
-Layout: tokens go, packed, to parts by word hash; the frequent words, which may hold a third of all tokens, are spread
-by word and context and pre-aggregated by document. A part holds all statistics of its words; what parts must share
-(tables of each restaurant, seating of the frequent words in the root) is a few thousand sums a sweep. Each part reseats
-with its own seeded generator, so lost work is redone alike.
+Each token is drawn in the restaurant of its context, the previous word (a text begins in a context of its own). Every
+context of the training rows has its own restaurant, told apart by 48 bits of the word's hash; all share one parent, the
+root, over a uniform base on the V known tokens and one unknown token. Seating is sampled by Gibbs sweeps: a sweep takes
+all customers of a dish out of a restaurant and seats them again one by one, given the rest as the last sweep left it;
+tables of the context restaurants are the customers of the root. Predictive probabilities are averaged over the sweeps
+after burn-in.
+
+Customers who join a table between two that open one are passed over at once, by inverting the exact chance that none
+of them opens one; the draws have the distribution of seating one by one. Each dish of each restaurant has a random
+stream of its own, seeded by sweep, word and context, and all sums are of integers: neither partitions nor settings of
+the session change a score.
+
+Layout: tokens go, packed, to parts by word hash; words that make up much of the corpus are spread over the parts by
+word and context. A part holds the dishes of its words in all contexts, so what a sweep exchanges is one number for each
+context of a part: its tables there go to the bucket of the context and the sum of all parts comes back. Parts are written
+once, bucketed by part, so the sweeps shuffle nothing but these numbers. The spread words are seated in the root by the
+driver; they are at most HOT_WORDS or four for each part.
 
 Defined cases: a null or empty text is one end token; words the training rows lack are the unknown token, each with its
 probability; a null doc_id trains; repeated rows are separate texts; without training rows every token is unknown; other
@@ -20,6 +26,7 @@ columns are not read; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,18 +39,25 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import crc_mod, materialize, shuffle_partitions, texts
+from quarry.llm.common import crc_mod, materialize, shared_dir, shuffle_partitions, texts
 
 FOLDS, HELD_OUT, SEED = 7, 2, 97
-CONTEXT_WORDS, SHAPES = 2000, 17 * 16
-SWEEPS, BURN_IN = 3, 1
+SWEEPS, BURN_IN = 6, 3
 STRENGTH_ROOT, STRENGTH = 10.0, 5.0
-#: Tokens packed at once by a task, at least and at most; tokens of one part in it; tokens a part should hold.
-FLUSH_TOKENS, MOST_TOKENS, SLICE_TOKENS, PART_TOKENS = 400_000, 1_200_000, 20_000, 3_000_000
-#: Partial sums of log10 probabilities travel as multiples of this.
-UNIT = 1e-8
-#: A flush reports words that make up this share of it; frequent words are picked among those.
-FREQUENT_SHARE = 1 / 20_000
+#: Tokens packed at once by a task, at least and at most; tokens of one part in it.
+FLUSH_TOKENS, MOST_TOKENS, SLICE_TOKENS = 400_000, 1_200_000, 20_000
+#: Tokens a part should hold, and the least for which a part is made; parts that share one bucket of contexts.
+PART_TOKENS, LEAST_PART_TOKENS, PARTS_A_BUCKET = 3_000_000, 50_000, 4
+#: Layout only: words of which a flush holds this share may be spread, so many of them at least.
+HOT_SHARE, HOT_WORDS = 1 / 20_000, 2000
+#: Log10 probabilities of tokens are multiples of this, so that sums do not depend on their order.
+UNIT = 1e-9
+#: Customers seated one by one before those who join a table are passed over at once.
+SINGLY = 32
+#: A new table's weight from which a dish of more customers is seated by itself: it opens many.
+OFTEN = 8.0
+START = 0  # the context key of a text's first token; words have keys above
+ROOT = 2**64 - 1  # stands for the root where a context key is asked for
 END = b" end"  # no word holds a space
 
 
@@ -76,374 +90,624 @@ def _steps(ascending: np.ndarray) -> np.ndarray:
     return np.diff(ascending, prepend=ascending.dtype.type(0))
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint32) if not len(x) or x.max() < 2**32 else x.astype(np.int64)
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    n = len(keys[0])
+    new = np.zeros(n, dtype=bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
 def _hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, SEED)
 
 
-def _shape(word: bytes) -> int:
-    return min(len(word), 16) * 16 + (word[-1] & 15)
+def _context(hashes: np.ndarray) -> np.ndarray:
+    """The context keys of words: the upper 48 bits of their hashes."""
+    return np.maximum(hashes >> np.uint64(16), np.uint64(1))
 
 
 def _words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-# ---------- first pass: frequent words ----------
+# ---------- seating ----------
+
+_STEP, _M1, _M2 = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # fixed values of the splitmix64 generator
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
+
+
+def _steps_of(n: int) -> np.uint64:
+    return np.uint64(n * _STEP % 2**64)
+
+
+def _streams(sweep: int, words: np.ndarray, contexts: np.ndarray | int) -> np.ndarray:
+    """The seed of the random stream of each dish."""
+    keys = contexts if isinstance(contexts, np.ndarray) else np.full(len(words), contexts, dtype=np.uint64)
+    return _mix(_mix(words + _steps_of(SEED + sweep)) ^ keys)
+
+
+def _draw(streams: np.ndarray, i: int) -> np.ndarray:
+    """The i-th number of each stream, between 0 and 1."""
+    return ((_mix(streams + _steps_of(i + 1)) >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
+
+
+def _draw_one(stream: int, i: int) -> float:
+    x = (stream + (i + 1) * _STEP) % 2**64
+    x = (x ^ (x >> 30)) * int(_M1) % 2**64
+    x = (x ^ (x >> 27)) * int(_M2) % 2**64
+    return (((x ^ (x >> 31)) >> 11) + 0.5) / 2**53
+
 
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    z, low = x + 8, x.copy()
+    for i in range(1, 8):
+        low *= x + i
+    z2 = z * z
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + (1 / 12 - (1 / 360 - 1 / 1260 / z2) / z2) / z - np.log(low)
 
-def _frequent(rows: DataFrame, most: int) -> tuple[list[bytes], int]:
-    """The most frequent training words and the number of all tokens."""
+
+def seat(customers: np.ndarray, streams: np.ndarray, discount: float, strength: np.ndarray, share: np.ndarray | float, of: np.ndarray | float, grows: bool) -> np.ndarray:
+    """Tables after seating all customers of each dish one by one.
+
+    With t tables a new one weighs (strength + discount * t) * (share + t) / (of + t) where the parent `grows` with them,
+    else (strength + discount * t) * share / of; the k customers seated weigh k - discount * t."""
+    n, up = len(customers), 1.0 if grows else 0.0
+    share, of = np.broadcast_to(np.asarray(share, dtype=np.float64), n), np.broadcast_to(np.asarray(of, dtype=np.float64), n)
+    tables = np.minimum(customers, 1).astype(np.float64)
+
+    def new(at: np.ndarray) -> np.ndarray:
+        t = tables[at]
+        return (strength[at] + discount * t) * (share[at] + up * t) / (of[at] + up * t)
+
+    at, k = np.flatnonzero(customers > 1), 1
+    while len(at) and k < SINGLY:
+        weight = new(at)
+        tables[at] += _draw(streams[at], k) * (weight + k - discount * tables[at]) < weight
+        k += 1
+        at = at[customers[at] > k]
+    often = new(at) >= OFTEN
+    for i in at[often].tolist():
+        tables[i] = _seat_many(int(customers[i]), k, tables[i], int(streams[i]), discount, float(strength[i]), float(share[i]), float(of[i]), up)
+    at = at[~often]
+    seated = np.full(len(at), float(k))
+    while len(at):
+        chance, weight = np.log(_draw(streams[at], k)), new(at)
+        k += 1
+        old, rest = seated - discount * tables[at], customers[at] - seated
+        begin = _log_gamma(old + weight) - _log_gamma(old)
+        opens = _log_gamma(old + rest) - _log_gamma(old + rest + weight) + begin < chance  # not all of the rest join a table
+        at, chance, weight, old, begin, seated = at[opens], chance[opens], weight[opens], old[opens], begin[opens], seated[opens]
+        low, high = np.zeros(len(at)), rest[opens].astype(np.float64)
+        while len(at) and (high - low).max() > 1:
+            mid = np.floor((low + high) / 2)
+            joins = _log_gamma(old + mid) - _log_gamma(old + mid + weight) + begin >= chance
+            low, high = np.where(joins, mid, low), np.where(joins, high, np.maximum(mid, low + 1))
+        tables[at] += 1
+        seated += low + 1
+        more = customers[at] > seated
+        at, seated = at[more], seated[more]
+    return tables
+
+
+def _seat_many(customers: int, seated: int, tables: float, stream: int, discount: float, strength: float, share: float, of: float, up: float) -> float:
+    """Tables of one dish at which many customers open one: the same draws, one after the other."""
+    lg, i = math.lgamma, seated
+    while seated < customers:
+        chance = math.log(_draw_one(stream, i))
+        i += 1
+        weight = (strength + discount * tables) * (share + up * tables) / (of + up * tables)
+        old, rest = seated - discount * tables, customers - seated
+        begin = lg(old + weight) - lg(old)
+        joins = lambda m: lg(old + m) - lg(old + m + weight) + begin >= chance  # noqa: B023, E731
+        if joins(rest):
+            break
+        low, step = min(rest - 1, int(old * math.expm1(min(500.0, -chance / weight)))), 1  # near the answer; then in growing steps
+        if joins(low):
+            while low + step < rest and joins(low + step):
+                low, step = low + step, 2 * step
+            high = min(rest, low + step)
+        else:
+            high = low
+            while high - step > 0 and not joins(high - step):
+                high, step = high - step, 2 * step
+            low = max(0, high - step)
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if joins(mid) else (low, mid)
+        tables += 1
+        seated += low + 1
+    return tables
+
+
+# ---------- first pass: the number of tokens and the words to spread ----------
+
+
+def _survey(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Counts of words that some flush holds often, the most frequent first, and the number of all tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, tokens, held = Counter(), 0, 0
+        counts, tokens = Counter(), 0
 
         def flush() -> pa.RecordBatch:
-            least = tokens * FREQUENT_SHARE
-            often = [(w, n) for w, n in counts.items() if n >= least]
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in often] + [None], pa.binary()), pa.array([n for _, n in often] + [tokens + held], pa.int64())], ["word", "n"])
+            often = [(w, n) for w, n in counts.items() if n >= tokens * HOT_SHARE]
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in often] + [None], pa.binary()), pa.array([n for _, n in often] + [tokens], pa.int64())], ["word", "n"])
 
         for batch in batches:
-            for text, train in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text in batch.column(0).to_pylist():
                 words = _words(text)
-                if train:
-                    counts.update(words)
-                    tokens += len(words) + 1
-                else:
-                    held += len(words) + 1
+                counts.update(words)
+                counts[END] += 1
+                tokens += len(words) + 1
                 if tokens >= FLUSH_TOKENS:
                     yield flush()
-                    counts, tokens, held = Counter(), 0, 0
+                    counts, tokens = Counter(), 0
         yield flush()
 
-    sums = rows.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    sums = materialize(rows.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-survey")
     total = sums.where(F.col("word").isNull()).first()
-    best = sums.where(F.col("word").isNotNull()).orderBy(F.desc("n"), "word").limit(most).collect()
-    return [bytes(r["word"]) for r in best], int(total["n"]) if total else 0
+    return sums.where(F.col("word").isNotNull()).orderBy(F.desc("n"), "word"), int(total["n"]) if total else 0
 
 
 # ---------- second pass: parts ----------
 
 
-def _spread(word: np.ndarray, leaf: np.ndarray, frequent: np.ndarray, parts: int) -> np.ndarray:
-    mixed = np.where(frequent, word ^ ((leaf.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), word)
-    return ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(parts)).astype(np.int64)
+def _spread(word: np.ndarray, context: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
+    mixed = _mix(np.where(hot, word ^ _mix(context), word))
+    return (mixed % np.uint64(parts)).astype(np.int64)
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Context keys in ascending order fall into ascending buckets."""
+    return ((keys * np.uint64(buckets)) >> np.uint64(48)).astype(np.int64)
+
 
+def _slices(bucket: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, first, end) of the runs of an ascending array."""
+    at = _starts(bucket).tolist()
+    return [(int(bucket[a]), a, b) for a, b in zip(at, [*at[1:], len(bucket)])]
 
-def _parts(rows: DataFrame, frequent: list[bytes], parts: int) -> DataFrame:
-    """(part, words, types, entries): one packed row a part."""
-    leaf_of = {w: i + 1 for i, w in enumerate(frequent)}
-    n_frequent, most = len(frequent), min(MOST_TOKENS, max(FLUSH_TOKENS, SLICE_TOKENS * parts))
+
+def _doc_bucket(rid: np.ndarray, buckets: int) -> np.ndarray:
+    return (rid + (rid >> 33) * 7919) % buckets
+
+
+PARTS = "part long, bucket long, docs binary, words binary, types binary, open binary, entries binary, asked binary, gives binary, sum_at array<long>, sum_n array<long>"
+
+
+def _rows(schema: str, rows: list[dict]) -> pd.DataFrame:
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    return pd.DataFrame({name: pd.Series([r.get(name) for r in rows], dtype=object) for name in names})
+
+
+def _parts(rows: DataFrame, hot: np.ndarray, parts: int, buckets: int, doc_buckets: int) -> DataFrame:
+    """PARTS: a row for each part, a row for each part and bucket of the contexts it asks for, rows of documents (part below 0)."""
+    most = min(MOST_TOKENS, max(FLUSH_TOKENS, SLICE_TOKENS * parts))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: dict[bytes, int] = {}
         local: list[np.ndarray] = []
-        train: list[bool] = []
-        base = None
+        of_row: list[tuple[int, int | None, bool]] = []
         tokens = 0
 
         def flush() -> pa.RecordBatch:
-            vocabulary = list(ids)
-            hashes = np.array([_hash(w) for w in vocabulary], dtype=np.uint64)
-            leaves = np.array([leaf_of.get(w) or n_frequent + 1 + _shape(w) for w in vocabulary], dtype=np.int64)
-            often = np.array([w in leaf_of for w in vocabulary], dtype=bool)
+            hashes = np.array([_hash(w) for w in ids], dtype=np.uint64)
             by_hash = np.argsort(hashes)
             rank = np.empty(len(by_hash), dtype=np.int64)
             rank[by_hash] = np.arange(len(by_hash))
-            hashes, leaves, often = hashes[by_hash], leaves[by_hash], often[by_hash]
+            hashes = hashes[by_hash]
+            keys = np.concatenate([[np.uint64(START)], _context(hashes)])
             sizes = np.array([len(x) for x in local])
             token, row = rank[np.concatenate(local)], np.repeat(np.arange(len(local)), sizes)
-            leaf = np.concatenate([[0], leaves[token[:-1]]])
-            leaf[np.cumsum(sizes)[:-1]] = 0  # a text begins
-            flag = leaf | (np.repeat(np.array(train), sizes).astype(np.int64) << 15)
-            part = _spread(hashes[token], leaf, often[token], parts)
-            order = np.lexsort(((token << 16) | flag, part))
-            part, token, flag, row = part[order], token[order], flag[order], row[order]
-            new = np.ones(len(order), dtype=bool)
-            new[1:] = (np.diff(part) != 0) | (np.diff(token) != 0) | (np.diff(flag) != 0) | (np.diff(row) != 0)
-            at = np.flatnonzero(new)
+            context = np.concatenate([[0], token[:-1] + 1])
+            context[np.cumsum(sizes)[:-1]] = 0  # a text begins
+            train = np.repeat(np.array([not held for _, _, held in of_row]), sizes)
+            part = _spread(hashes[token], keys[context], np.isin(hashes, hot)[token], parts)
+            order = np.lexsort((row, (context << 1) | train, token, part))
+            part, token, context, train, row = part[order], token[order], context[order], train[order], row[order]
+            at = _starts(part, token, context, train, row)
             count = np.diff(np.append(at, len(order)))
-            part, token, flag, row = part[at], token[at], flag[at], row[at]
-            cuts = np.flatnonzero(np.append(True, np.diff(part) != 0)).tolist() + [len(part)]
-            blobs = []
-            for a, b in zip(cuts, cuts[1:]):
-                first = np.flatnonzero(np.append(True, np.diff(token[a:b]) != 0))
+            part, token, context, train, row = part[at], token[at], context[at], train[at], row[at]
+            base, numbers, blobs = of_row[0][0], [], []
+            for p, a, b in _slices(part):
+                first = _starts(token[a:b])
                 runs = np.diff(np.append(first, b - a))
-                blobs.append(_pack(_steps(hashes[token[a:b][first]]), runs.astype(np.uint32), flag[a:b].astype(np.uint16), row[a:b].astype(np.uint32), count[a:b].astype(np.uint32), np.array([base], dtype=np.int64)))
-            return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]], pa.int64()), pa.array(blobs, pa.binary())], ["part", "blob"])
+                asked, place = np.unique(context[a:b], return_inverse=True)
+                packed = (_steps(hashes[token[a:b][first]]), runs.astype(np.uint32), _steps(keys[asked]), ((place << 1) | train[a:b]).astype(np.uint32), row[a:b].astype(np.uint32), count[a:b].astype(np.uint32), np.array([base], dtype=np.int64))
+                numbers.append(p)
+                blobs.append(_pack(*packed))
+            rid = np.array([r for r, _, _ in of_row], dtype=np.int64)
+            doc = np.array([i or 0 for _, i, _ in of_row], dtype=np.int64)
+            flags = np.array([(i is None) | held << 1 for _, i, held in of_row], dtype=np.uint8)
+            to = _doc_bucket(rid, doc_buckets)
+            order = np.argsort(to, kind="stable")
+            for b, first, end in _slices(to[order]):
+                own = order[first:end]
+                numbers.append(-1 - b)
+                blobs.append(_pack(rid[own], doc[own], flags[own]))
+            return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
         for batch in batches:
-            for rid, text, learn in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if base is None:
-                    base = rid
+            for rid, doc, text, held in zip(*(c.to_pylist() for c in batch.columns)):
                 words = _words(text)
                 words.append(END)
                 local.append(np.array([ids.setdefault(w, len(ids)) for w in words], dtype=np.int64))
-                train.append(learn)
+                of_row.append((rid, doc, held))
                 tokens += len(words)
                 if tokens >= most:
                     yield flush()
-                    ids, local, train, base, tokens = {}, [], [], None, 0
+                    ids, local, of_row, tokens = {}, [], [], 0
         if local:
             yield flush()
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
+        part = int(group["part"].iloc[0])
+        if part < 0:
+            return _rows(PARTS, [{"part": part, "docs": blob} for blob in group["blob"]])
         columns = [[] for _ in range(5)]
         for blob in group["blob"]:
-            words, runs, flag, row, count, base = _unpack(blob)
-            words = np.cumsum(words, dtype=np.uint64)
-            for to, x in zip(columns, (np.repeat(words, runs), flag & 0x7FFF, flag >> 15, row.astype(np.int64) + base[0], count)):
+            words, runs, keys, place, row, count, base = _unpack(blob)
+            words, keys = np.cumsum(words, dtype=np.uint64), np.cumsum(keys, dtype=np.uint64)
+            for to, x in zip(columns, (np.repeat(words, runs), keys[place >> 1], (place & 1).astype(bool), row.astype(np.int64) + base[0], count)):
                 to.append(x)
-        word, leaf, train, row, count = map(np.concatenate, columns)
-        order = np.lexsort((leaf, word))
-        word, leaf, train, row, count = word[order], leaf[order], train[order], row[order], count[order]
-        new_word = np.append(True, word[1:] != word[:-1])
-        at = np.flatnonzero(new_word | np.append(True, leaf[1:] != leaf[:-1]))
+        word, context, train, row, count = map(np.concatenate, columns)
+        del columns
+        order = np.lexsort((context, word))
+        word, context, train, row, count = word[order], context[order], train[order], row[order], count[order]
+        at = _starts(word, context)
         entries = np.diff(np.append(at, len(word)))
         seen = np.add.reduceat(count.astype(np.int64) * train, at)
-        types = np.diff(np.append(np.flatnonzero(new_word[at]), len(at)))
+        word, context = word[at], context[at]
+        first = _starts(word)
+        types, words = np.diff(np.append(first, len(word))), word[first]
         docs, place = np.unique(row, return_inverse=True)
-        return pd.DataFrame({
-            "part": [group["part"].iloc[0]],
-            "words": [_pack(_steps(word[new_word]))],
-            "types": [_pack(types.astype(np.uint32), leaf[at], seen.astype(np.uint32))],
-            "entries": [_pack(entries.astype(np.uint32), place.astype(np.uint32), count, docs)],
-        })
-
-    return rows.mapInArrow(send, "part long, blob binary").groupBy("part").applyInPandas(merge, "part long, words binary, types binary, entries binary")
+        keys, asks = np.unique(context, return_inverse=True)
+        own = Words(words, np.repeat(np.arange(len(words)), types), seen, hot)
+        closed_of = np.bincount(asks[seen == 1], minlength=len(keys))
+        guests_of = np.bincount(asks, seen, minlength=len(keys)).astype(np.int64)
+        open_keys, open_asks = np.unique(asks[own.open], return_inverse=True)
+        gives = np.bincount(open_asks, minlength=len(open_keys))
+        out = [{
+            "part": part,
+            "words": _pack(_steps(words), types.astype(np.uint32)),
+            "types": _pack(_small(asks), _small(seen)),
+            "open": _pack(_steps(words[own.busy]), _small(own.closed[own.busy]), _small(np.bincount(own.of[own.open], minlength=len(words))[own.busy]), _steps(keys[open_keys]), _small(open_asks), _small(seen[own.open])),
+            "entries": _pack(entries.astype(np.uint32), _small(place), count, _steps(docs)),
+            **_summands(own.hot_at[own.is_hot], len(hot), own.count[own.is_hot], own.kinds[own.is_hot], tail=own.stats()),
+        }]
+        of_open = _bucket(keys[open_keys], buckets)
+        for b, first, end in _slices(_bucket(keys, buckets)):
+            x, y = np.searchsorted(of_open, [b, b + 1])
+            asked = _pack(_steps(keys[first:end]), _small(closed_of[first:end]), _small(guests_of[first:end]), _small(open_keys[x:y] - first))
+            out.append({"part": part, "bucket": b, "asked": asked, "gives": _pack(_small(gives[x:y]))})
+        return _rows(PARTS, out)
+
+    return rows.mapInArrow(send, "part long, blob binary").groupBy("part").applyInPandas(merge, PARTS)
+
+
+class Words:
+    """The words of a part: their training counts and which of their dishes can change seats."""
+
+    def __init__(self, words: np.ndarray, of: np.ndarray, seen: np.ndarray, hot: np.ndarray):
+        n = len(words)
+        self.of, self.open = of, seen >= 2  # one customer has one table, always
+        self.count = np.bincount(of, seen, minlength=n).astype(np.int64)
+        self.closed = np.bincount(of[seen == 1], minlength=n)
+        n_open = np.bincount(of[self.open], minlength=n)
+        self.kinds = self.closed + n_open
+        self.seen = seen
+        at = np.minimum(np.searchsorted(hot, words), max(0, len(hot) - 1))
+        self.is_hot = hot[at] == words if len(hot) else np.zeros(n, dtype=bool)
+        self.busy = np.flatnonzero((n_open > 0) | (self.closed >= 2) | self.is_hot)
+        self.hot_at = np.where(self.is_hot, at, 0)
+
+    def stats(self) -> list[int]:
+        """Training tokens; dishes of one customer and of two; of the words that are not hot: known ones, first customers in the root,
+        words of one customer there and of two, and customers of words that keep their seats."""
+        cold = ~self.is_hot
+        kinds, still = self.kinds[cold], np.delete(self.kinds, self.busy)
+        own = [np.count_nonzero(self.seen == k) for k in (1, 2)]
+        return [int(x) for x in [self.count.sum(), *own, np.count_nonzero(kinds), kinds.sum(), *(np.count_nonzero(kinds == k) for k in (1, 2)), still.sum()]]
+
+
+def _summands(at: np.ndarray, width: int, *columns: np.ndarray, tail: list[int]) -> dict[str, list[int]]:
+    """Numbers to be summed over parts: columns of `width` numbers of which those at `at` are given, then the tail."""
+    where = np.concatenate([np.zeros(0, dtype=np.int64), *(at + i * width for i in range(len(columns)))])
+    return {"sum_at": [*where.tolist(), *range(len(columns) * width, len(columns) * width + len(tail))], "sum_n": [*np.concatenate([np.zeros(0, dtype=np.int64), *columns]).astype(np.int64).tolist(), *tail]}
+
+
+def _sums(rows: DataFrame, n: int) -> np.ndarray:
+    """n sums over parts."""
+    each = rows.where(F.col("sum_at").isNotNull()).select(F.explode(F.arrays_zip("sum_at", "sum_n")).alias("x"))
+    out = np.zeros(n)
+    for r in each.groupBy("x.sum_at").agg(F.sum("x.sum_n").alias("n")).collect():  # two rows for each hot word at most
+        out[r["sum_at"]] = r["n"]
+    return out
 
 
 # ---------- the model ----------
 
 
 @dataclass
-class Sweep:
-    """What parts share about one state of the seating."""
+class State:
+    """What all parts share about one state of the seating."""
 
-    tables: np.ndarray  # of each context restaurant
+    root_customers: float
     root_tables: float
-    often_customers: np.ndarray  # of the frequent words in the root
-    often_tables: np.ndarray
+    hot_customers: np.ndarray
+    hot_tables: np.ndarray
 
 
 @dataclass
-class Shared:
-    often: np.ndarray  # sorted hashes of the frequent words
-    customers: np.ndarray  # of each context restaurant
-    often_counts: np.ndarray  # training tokens of each frequent word
+class Model:
+    hot: np.ndarray  # sorted hashes of the spread words
+    hot_counts: np.ndarray  # their training tokens
     tokens: int
     known: int  # distinct training tokens
     discount: float
     root_discount: float
-    sweeps: list[Sweep] = field(default_factory=list)
-
-    def root_share(self, k: int, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        s = self.sweeps[k]
-        new = (STRENGTH_ROOT + self.root_discount * s.root_tables) / (self.known + 1)
-        return (customers - self.root_discount * tables + new) / (STRENGTH_ROOT + s.tables.sum())
-
-
-def seat(customers: np.ndarray, new_weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after seating all customers of each dish one by one; new_weight: the weight of a new table."""
-    tables = np.minimum(customers, 1).astype(np.float64)
-    alive, k = np.flatnonzero(customers > 1), 1
-    while len(alive):
-        step = 1 if k < 32 else k // 16  # beyond 32 customers a sixteenth of them is drawn at once
-        take = np.minimum(step, customers[alive] - k)
-        weight, old = new_weight[alive], np.maximum(k + (step - 1) / 2 - discount * tables[alive], 1e-9)
-        p = weight / (weight + old)
-        tables[alive] += (rng.random(len(alive)) < p) if step == 1 else rng.binomial(take, p)
-        k += step
-        alive = alive[customers[alive] > k]
-    return tables
-
-
-class Part:
-    """The seating of one part, redone sweep by sweep from what the parts shared."""
-
-    def __init__(self, number: int, words: bytes, types: bytes, shared: Shared):
-        self.number, self.shared = number, shared
-        self.word = np.cumsum(_unpack(words)[0], dtype=np.uint64)
-        self.types, self.leaf, self.seen = _unpack(types)
-        self.seen = self.seen.astype(np.int64)
-        self.starts = np.cumsum(self.types.astype(np.int64)) - self.types
-        self.of = np.repeat(np.arange(len(self.word)), self.types)
-        at = np.searchsorted(shared.often, self.word)
-        at[at == len(shared.often)] = 0
-        self.often = np.where(shared.often[at] == self.word, at, -1) if len(shared.often) else np.full(len(self.word), -1)
-        self.rare = self.often < 0
-        self.tables = np.minimum(self.seen, 1).astype(np.float64)
-        self.root()
-
-    def root(self, k: int | None = None) -> None:
-        """Customers and tables of the part's words in the root; frequent words are seated by the driver."""
-        self.customers = np.add.reduceat(self.tables, self.starts) if len(self.starts) else np.zeros(0)
-        if k is None:
-            self.root_tables = np.minimum(self.customers, 1)
-        else:
-            s = self.shared
-            new = np.full(len(self.word), (STRENGTH_ROOT + s.root_discount * s.sweeps[k].root_tables) / (s.known + 1))
-            rng = np.random.default_rng((SEED, self.number, k, 1))
-            self.root_tables = np.where(self.rare, seat((self.customers * self.rare).astype(np.int64), new, s.root_discount, rng), 0)
-
-    def share(self, k: int) -> np.ndarray:
-        """Each word's probability in the root after sweep k."""
-        s = self.shared.sweeps[k]
-        i = np.maximum(self.often, 0)
-        customers = np.where(self.rare, self.customers, s.often_customers[i] if len(s.often_customers) else 0)
-        tables = np.where(self.rare, self.root_tables, s.often_tables[i] if len(s.often_tables) else 0)
-        return self.shared.root_share(k, customers, tables)
-
-    def sweep(self, k: int) -> None:
-        """From the state after sweep k to the next."""
-        s = self.shared
-        weight = (STRENGTH + s.discount * s.sweeps[k].tables[self.leaf]) * self.share(k)[self.of]
-        self.tables = seat(self.seen, weight, s.discount, np.random.default_rng((SEED, self.number, k)))
-        self.root(k)
-
-    def predictive(self, k: int) -> np.ndarray:
-        """Each type's probability in its context after sweep k."""
-        s = self.shared
-        customers = s.customers[self.leaf]
-        back = (STRENGTH + s.discount * s.sweeps[k].tables[self.leaf]) * self.share(k)[self.of]
-        return (self.seen - s.discount * self.tables + back) / (STRENGTH + customers)
-
-    def sums(self, leaves: int, n_often: int) -> dict[str, np.ndarray]:
-        often = self.often[self.of]
-        hit = often >= 0
-        return {
-            "tables": np.bincount(self.leaf, self.tables, minlength=leaves),
-            "often": np.bincount(often[hit], self.tables[hit], minlength=n_often),
-            "root": np.array([self.root_tables[self.rare].sum()]),
-        }
-
-
-def _sum_over_parts(parts: DataFrame, run) -> dict[str, np.ndarray]:
-    """Sums of what run(part number, words, types) -> {name: array} returns; a few thousand numbers."""
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for i in range(batch.num_rows):
-                for name, x in run(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py()).items():
-                    sums[name] = sums[name] + x if name in sums else x
-        for name, x in sums.items():
-            if not len(x):
-                continue
-            at = np.flatnonzero(np.append(x[:-1], 1))  # the last one tells the length
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at, pa.int64()), pa.array(x[at].astype(np.float64))], ["name", "at", "x"])
-
-    rows = parts.select("part", "words", "types").mapInArrow(over, "name string, at long, x double").groupBy("name", "at").agg(F.sum("x").alias("x")).collect()
-    out: dict[str, np.ndarray] = {}
-    for name in {r["name"] for r in rows}:
-        own = [r for r in rows if r["name"] == name]
-        out[name] = np.zeros(max(r["at"] for r in own) + 1)
-        for r in own:
-            out[name][r["at"]] = r["x"]
-    return out
-
-
-def _train(parts: DataFrame, frequent: list[bytes]) -> Shared:
-    often = np.sort(np.array([_hash(w) for w in frequent], dtype=np.uint64))
-    leaves, n_often = len(frequent) + 1 + SHAPES, len(often)
-    empty = Shared(often, np.zeros(leaves), np.zeros(n_often), 0, 0, 0.5, 0.5)
-
-    def count(number: int, words: bytes, types: bytes) -> dict[str, np.ndarray]:
-        part = Part(number, words, types, empty)
-        of_word = np.add.reduceat(part.seen, part.starts)
-        own = part.often[~part.rare]
-        kinds = part.customers[part.rare]
-        return part.sums(leaves, n_often) | {
-            "customers": np.bincount(part.leaf, part.seen, minlength=leaves),
-            "often_counts": np.bincount(own, of_word[~part.rare], minlength=n_often),
-            "known": np.array([np.count_nonzero(of_word[part.rare])]),
-            "ones": np.array([np.count_nonzero(part.seen == 1), np.count_nonzero(part.seen == 2), np.count_nonzero(kinds == 1), np.count_nonzero(kinds == 2), 0]),
-        }
-
-    first = _sum_over_parts(parts, count)
-    if not first or not first["customers"].sum():
-        empty.sweeps = [Sweep(np.zeros(leaves), 0.0, np.zeros(n_often), np.zeros(n_often))] * (SWEEPS + 1)
-        return empty
-    pad = lambda x, n: np.append(x, np.zeros(n - len(x)))[:n]
-    counts = pad(first.get("often_counts", np.zeros(0)), n_often)
-    ones = first["ones"]
-    discounts = [min(0.95, max(0.05, a / (a + 2 * b))) if a + b else 0.5 for a, b in ((ones[0], ones[1]), (ones[2], ones[3]))]
-    shared = Shared(often, pad(first["customers"], leaves), counts, int(first["customers"].sum()), int(first["known"][0] + np.count_nonzero(counts)), *discounts)
-    sums = first
-    for k in range(SWEEPS + 1):
-        customers = pad(sums.get("often", np.zeros(0)), n_often)
-        if k:
-            new = np.full(n_often, (STRENGTH_ROOT + shared.root_discount * shared.sweeps[-1].root_tables) / (shared.known + 1))
-            tables = seat(customers.astype(np.int64), new, shared.root_discount, np.random.default_rng((SEED, k, 7)))
-        else:
-            tables = np.minimum(customers, 1)
-        shared.sweeps.append(Sweep(pad(sums["tables"], leaves), float(sums["root"][0] + tables.sum()), customers, tables))
-        if k < SWEEPS:
-
-            def reseat(number: int, words: bytes, types: bytes) -> dict[str, np.ndarray]:
-                part = Part(number, words, types, shared)
-                for j in range(len(shared.sweeps)):
-                    part.sweep(j)
-                return part.sums(leaves, n_often)
-
-            sums = _sum_over_parts(parts, reseat)
-    return shared
-
-
-def _scores(parts: DataFrame, shared: Shared) -> DataFrame:
-    """(rid, base_score, score, n_tokens, n_known): each part packs its sums by bucket of documents, each bucket adds them up."""
-    buckets = shuffle_partitions(parts.sparkSession)
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                part = Part(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), shared)
-                entries, place, count, docs = _unpack(batch.column(3)[i].as_py())
-                count, n = count.astype(np.float64), len(docs)
-                own = np.add.reduceat(part.seen, part.starts)
-                of_word = np.where(part.rare, own, shared.often_counts[np.maximum(part.often, 0)] if len(shared.often) else 0)
-                base = np.log10((of_word + 1) / (shared.tokens + shared.known + 1))
-                total = np.zeros(len(part.leaf))
-                for k in range(SWEEPS):
-                    part.sweep(k)
-                    if k >= BURN_IN:
-                        total += part.predictive(k + 1)
-                score = np.log10(total / (SWEEPS - BURN_IN))
-                word = np.repeat(part.of, entries)
-                base, score = (np.rint(np.bincount(place, count * x, minlength=n) / -UNIT).astype(np.int64) for x in (base[word], np.repeat(score, entries)))
-                tokens, known = (np.bincount(place, x, minlength=n).astype(np.uint32) for x in (count, count * (of_word > 0)[word]))
-                bucket = (docs + (docs >> 33) * 7919) % buckets
-                order = np.argsort(bucket, kind="stable")  # docs ascend inside a bucket
-                cuts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)).tolist() + [n]
-                blobs = [_pack(_steps(docs[at]), base[at], score[at], tokens[at], tokens[at] - known[at]) for at in (order[a:b] for a, b in zip(cuts, cuts[1:]))]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cuts[:-1]], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+    buckets: int
+    still: float  # customers in the root of words that keep their seats: one each
+    states: list[State] = field(default_factory=list)
+
+    def base(self, state: State) -> float:
+        """Weight in the root of what no customer there stands for."""
+        return (STRENGTH_ROOT + self.root_discount * state.root_tables) / (self.known + 1)
+
+    def root_share(self, state: State, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        return (customers - self.root_discount * tables + self.base(state)) / (STRENGTH_ROOT + state.root_customers)
+
+    def seat_root(self, sweep: int, words: np.ndarray, customers: np.ndarray, old: np.ndarray) -> np.ndarray:
+        strength = STRENGTH_ROOT + self.root_discount * (self.states[sweep - 1].root_tables - old)
+        return seat(customers.astype(np.int64), _streams(sweep, words, ROOT), self.root_discount, strength, 1.0, self.known + 1.0, False)
+
+    def hot_places(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.hot, words), max(0, len(self.hot) - 1))
+        return (self.hot[at] == words if len(self.hot) else np.zeros(len(words), dtype=bool)), at
+
+    def root_of(self, state: State, words: np.ndarray, customers: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of words in the root; of hot words, the sums over all parts."""
+        is_hot, at = self.hot_places(words)
+        if not is_hot.any():
+            return customers, tables
+        return np.where(is_hot, state.hot_customers[at], customers), np.where(is_hot, state.hot_tables[at], tables)
+
+
+STATES = "part long, bucket long, tables binary, gives binary, sum_at array<long>, sum_n array<long>"
+ASKED = "bucket long, part long, all binary, open binary, sums binary"
+REPLIES = "part long, bucket long, state int, reply binary"
+
+
+def _ask(group: pd.DataFrame) -> pd.DataFrame:
+    """For one bucket: where each part's contexts stand among all of the bucket, and the sums that never change."""
+    asked = [[np.cumsum(x[0], dtype=np.uint64), *x[1:]] for x in map(_unpack, group["asked"])]
+    keys, place = np.unique(np.concatenate([x[0] for x in asked]), return_inverse=True)
+    closed, guests = (np.bincount(place, np.concatenate([x[i] for x in asked]), minlength=len(keys)).astype(np.int64) for i in (1, 2))
+    bucket, out, at = int(group["bucket"].iloc[0]), [], 0
+    for part, x in zip(group["part"], asked):
+        own = place[at : at + len(x[0])]
+        at += len(own)
+        out.append({"bucket": bucket, "part": int(part), "all": _pack(_steps(own)), "open": _pack(_steps(own[x[3]]))})
+    out.append({"bucket": bucket, "part": -1, "sums": _pack(_small(closed), _small(guests))})
+    return _rows(ASKED, out)
+
+
+def _answer(states: list[int], whole: bool):
+    """For one bucket: the tables of each context over all parts, and its customers too if `whole`; open contexts only unless `whole`."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        bucket, out = int(group["bucket"].iloc[0]), []
+        closed, guests = _unpack(group.loc[group["sums"].notna(), "sums"].iloc[0])
+        steps = dict(zip(group.loc[group["open"].notna(), "part"], group.loc[group["open"].notna(), "open"]))
+        places = {int(p): np.cumsum(_unpack(x)[0]) for p, x in steps.items()}
+        tables = {k: closed.astype(np.int64) for k in states}
+        given = group[group["gives"].notna()]
+        for state, own in given.groupby("state"):
+            for part, blob in zip(own["part"], own["gives"]):
+                tables[state][places[int(part)]] += _unpack(blob)[0]  # the places of a part are distinct
+        if whole:
+            asked = group[group["all"].notna()]
+            places = {int(p): np.cumsum(_unpack(x)[0]) for p, x in zip(asked["part"], asked["all"])}
+        for part, at in places.items():
+            if whole:
+                out.append({"part": part, "bucket": bucket, "state": -1, "reply": _pack(_small(guests[at]))})
+            out += [{"part": part, "bucket": bucket, "state": state, "reply": _pack(_small(x[at]))} for state, x in tables.items()]
+        return _rows(REPLIES, out)
+
+    return run
+
+
+def _replies(asked: DataFrame, gives: dict[int, DataFrame], whole: bool) -> DataFrame:
+    kinds = {"all": whole, "open": True, "sums": True}
+    rows = asked.select("bucket", "part", *[F.col(c) if on else F.lit(None).cast("binary").alias(c) for c, on in kinds.items()], F.lit(None).cast("int").alias("state"), F.lit(None).cast("binary").alias("gives"))
+    for state, own in gives.items():
+        own = own.where(F.col("gives").isNotNull())
+        rows = rows.unionByName(own.select("bucket", "part", *[F.lit(None).cast("binary").alias(c) for c in kinds], F.lit(state).alias("state"), "gives"))
+    return rows.groupBy("bucket").applyInPandas(_answer(sorted(gives), whole), REPLIES)
+
+
+def _told(dynamic: pd.DataFrame, state: int) -> np.ndarray:
+    """What the buckets reply about one state, in the order of the part's contexts."""
+    own = dynamic[(dynamic["state"] == state) & dynamic["reply"].notna()].sort_values("bucket")
+    return np.concatenate([np.zeros(0, dtype=np.int64), *(_unpack(x)[0] for x in own["reply"])]).astype(np.int64)
+
+
+def _sweep(model: Model, sweep: int):
+    """From a part's state after the last sweep to the next."""
+
+    def run(static: pd.DataFrame, dynamic: pd.DataFrame) -> pd.DataFrame:
+        if not len(static):
+            return _rows(STATES, [])
+        part = int(static["part"].iloc[0])
+        words, closed, n_open, keys, asks, seen = _unpack(static["open"].iloc[0])
+        words, keys = np.cumsum(words, dtype=np.uint64), np.cumsum(keys, dtype=np.uint64)
+        closed, seen, asks = closed.astype(np.int64), seen.astype(np.int64), asks.astype(np.int64)
+        of, state = np.repeat(np.arange(len(words)), n_open), model.states[sweep - 1]
+        before = dynamic.loc[dynamic["tables"].notna(), "tables"]
+        old = _unpack(before.iloc[0]) if len(before) else None
+        tables = old[0].astype(np.int64) if old else np.ones(len(seen), dtype=np.int64)
+        mine = closed + np.bincount(of, tables, minlength=len(words))
+        mine_tables = old[1].astype(np.int64) if old else np.minimum(mine, 1)
+        customers, root_tables = model.root_of(state, words, mine, mine_tables)
+        rest = customers[of] - tables
+        d0 = model.root_discount
+        strength = STRENGTH + model.discount * (_told(dynamic, sweep - 1)[asks] - tables)
+        share = rest - d0 * np.maximum(np.minimum(root_tables[of], rest), 1) + model.base(state)
+        tables = seat(seen, _streams(sweep, words[of], keys[asks]), model.discount, strength, share, STRENGTH_ROOT + state.root_customers - tables, True)
+        mine = closed + np.bincount(of, tables, minlength=len(words))
+        is_hot, at = model.hot_places(words)
+        cold = ~is_hot
+        mine_tables = np.zeros(len(words))
+        mine_tables[cold] = model.seat_root(sweep, words[cold], mine[cold], root_tables[cold])
+        out = [{
+            "part": part,
+            "tables": _pack(_small(tables), _small(mine_tables)),
+            **_summands(at[is_hot], len(model.hot), mine[is_hot], tail=[int(mine[cold].sum()), int(mine_tables.sum())]),
+        }]
+        gives = np.bincount(asks, tables, minlength=len(keys))
+        out += [{"part": part, "bucket": b, "gives": _pack(_small(gives[x:y]))} for b, x, y in _slices(_bucket(keys, model.buckets))]
+        return _rows(STATES, out)
+
+    return run
+
+
+DYNAMIC = ("part", "bucket", "state", "reply", "tables")
+
+
+def _dynamic(replies: DataFrame, states: dict[int, DataFrame]) -> DataFrame:
+    """What changes from sweep to sweep: replies of the buckets and the parts' own seating."""
+    rows = replies.withColumn("tables", F.lit(None).cast("binary")).select(*DYNAMIC)
+    for k, own in states.items():
+        own = own.where(F.col("tables").isNotNull())
+        rows = rows.unionByName(own.select("part", "bucket", F.lit(k).alias("state"), F.lit(None).cast("binary").alias("reply"), "tables"))
+    return rows
+
+
+def _begin(parts: DataFrame, hot: np.ndarray, buckets: int) -> Model:
+    n = len(hot)
+    sums = _sums(parts, 2 * n + 8)
+    counts, kinds = sums[:n], sums[n : 2 * n]
+    tokens, once, twice, known, customers, root_once, root_twice, still = sums[2 * n :].tolist()
+    root_once, root_twice = root_once + np.count_nonzero(kinds == 1), root_twice + np.count_nonzero(kinds == 2)
+    discounts = [min(0.95, max(0.05, a / (a + 2 * b))) if a + b else 0.5 for a, b in ((once, twice), (root_once, root_twice))]
+    model = Model(hot, counts, int(tokens), int(known + np.count_nonzero(counts)), *discounts, buckets, still)
+    model.states.append(State(customers + kinds.sum(), known + np.count_nonzero(kinds), kinds, np.minimum(kinds, 1)))
+    return model
+
+
+def _train(parts: DataFrame, model: Model) -> tuple[DataFrame, dict[int, DataFrame]]:
+    """Where parts' contexts stand in the buckets, and the seating after each sweep past burn-in."""
+    asked = materialize(parts.where(F.col("asked").isNotNull()).select("bucket", "part", "asked").groupBy("bucket").applyInPandas(_ask, ASKED), "lm-asked")
+    static = parts.where(F.col("open").isNotNull()).select("part", "open")
+    gives, states, n = parts.where(F.col("gives").isNotNull()).select("part", "bucket", "gives"), {}, len(model.hot)
+    for k in range(1, SWEEPS + 1):
+        last = {k - 1: states[k - 1]} if k > 1 else {}
+        dynamic = _dynamic(_replies(asked, {k - 1: gives}, False), last)
+        swept = static.groupBy("part").cogroup(dynamic.groupBy("part")).applyInPandas(_sweep(model, k), STATES)
+        states[k] = gives = materialize(swept, f"lm-sweep{k}")
+        sums = _sums(gives, n + 2)
+        tables = model.seat_root(k, model.hot, sums[:n], model.states[-1].hot_tables)
+        model.states.append(State(sums[n] + model.still + sums[:n].sum(), sums[n + 1] + model.still + tables.sum(), sums[:n], tables))
+    return asked, {k: s for k, s in states.items() if k > BURN_IN}
+
+
+def predictive(model: Model, words: np.ndarray, own: Words, asks: np.ndarray, guests: np.ndarray, tables: dict[int, np.ndarray], seats: dict[int, list[np.ndarray]]) -> np.ndarray:
+    """Each dish's probability in its context, averaged over the sweeps in `seats`."""
+    total = np.zeros(len(asks))
+    for k, (open_tables, root_tables) in seats.items():
+        t = np.minimum(own.seen, 1)
+        t[own.open] = open_tables
+        customers = np.bincount(own.of, t, minlength=len(words))
+        in_root = np.minimum(customers, 1)
+        in_root[own.busy] = root_tables
+        share = model.root_share(model.states[k], *model.root_of(model.states[k], words, customers, in_root))
+        back = (STRENGTH + model.discount * tables[k][asks]) * share[own.of]
+        total += (own.seen - model.discount * t + back) / (STRENGTH + guests[asks])
+    return total / len(seats)
+
+
+def _score(model: Model, kept: list[int], doc_buckets: int):
+    """A part's sums of log10 probabilities, packed by bucket of documents."""
+
+    def run(static: pd.DataFrame, dynamic: pd.DataFrame) -> pd.DataFrame:
+        if not len(static):
+            return pd.DataFrame({"bucket": [], "blob": []})
+        (words, types), (asks, seen), (entries, place, count, docs) = (_unpack(static[c].iloc[0]) for c in ("words", "types", "entries"))
+        words, docs, seen = np.cumsum(words, dtype=np.uint64), np.cumsum(docs), seen.astype(np.int64)
+        own = Words(words, np.repeat(np.arange(len(words)), types), seen, model.hot)
+        held = dynamic[dynamic["tables"].notna()]
+        seats = {k: _unpack(held.loc[held["state"] == k, "tables"].iloc[0]) for k in kept}
+        chance = predictive(model, words, own, asks, _told(dynamic, -1), {k: _told(dynamic, k) for k in kept}, seats)
+        of_word = np.where(own.is_hot, model.hot_counts[own.hot_at], own.count) if len(model.hot) else own.count
+        base = np.rint(np.log10((of_word + 1) / (model.tokens + model.known + 1)) / -UNIT)
+        score = np.rint(np.log10(chance) / -UNIT)
+        n, word, count = len(docs), np.repeat(own.of, entries), count.astype(np.float64)
+        base, score = (np.bincount(place, count * x, minlength=n).astype(np.int64) for x in (base[word], np.repeat(score, entries)))
+        tokens, known = (np.bincount(place, x, minlength=n).astype(np.uint32) for x in (count, count * (of_word > 0)[word]))
+        bucket = _doc_bucket(docs, doc_buckets)
+        order = np.argsort(bucket, kind="stable")  # docs ascend inside a bucket
+        out = [(b, _pack(_steps(docs[at]), base[at], score[at], tokens[at], tokens[at] - known[at])) for b, at in ((b, order[x:y]) for b, x, y in _slices(bucket[order]))]
+        return pd.DataFrame({"bucket": [b for b, _ in out], "blob": [x for _, x in out]})
+
+    return run
+
+
+def _scores(parts: DataFrame, asked: DataFrame, model: Model, states: dict[int, DataFrame], doc_buckets: int) -> DataFrame:
+    """The sums of all parts, and the documents they belong to."""
+    static = parts.where(F.col("entries").isNotNull()).select("part", "words", "types", "entries")
+    dynamic = _dynamic(_replies(asked, states, True), states)
+    packed = static.groupBy("part").cogroup(dynamic.groupBy("part")).applyInPandas(_score(model, sorted(states), doc_buckets), "bucket long, blob binary")
+    docs = parts.where(F.col("docs").isNotNull()).select((-1 - F.col("part")).alias("bucket"), F.lit(None).cast("binary").alias("blob"), "docs")
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        docs, *sums = map(np.concatenate, zip(*map(_unpack_sums, group["blob"])))
-        rid, at = np.unique(docs, return_inverse=True)
-        base, score, tokens, unknown = (np.bincount(at, x, minlength=len(rid)) for x in sums)
-        counts = {"n_tokens": tokens.astype(np.int64), "n_known": (tokens - unknown).astype(np.int64)}
-        return pd.DataFrame({"rid": rid, "base_score": base * -UNIT, "score": score * -UNIT} | counts)
-
-    packed = parts.mapInArrow(over, "bucket long, blob binary")
-    return packed.groupBy("bucket").applyInPandas(add, "rid long, base_score double, score double, n_tokens long, n_known long")
-
-
-def _unpack_sums(blob: bytes) -> list[np.ndarray]:
-    docs, *sums = _unpack(blob)
-    return [np.cumsum(docs), *sums]
+        rid, doc, flags = map(np.concatenate, zip(*(_unpack(x) for x in group["docs"].dropna())))
+        order = np.argsort(rid)
+        rid, doc, flags = rid[order], doc[order], flags[order]
+        base, score, tokens, unknown = (np.zeros(len(rid), dtype=np.int64) for _ in range(4))
+        for blob in group["blob"].dropna():
+            own, *sums = _unpack(blob)
+            at = np.searchsorted(rid, np.cumsum(own))
+            for to, x in zip((base, score, tokens, unknown), sums):
+                to[at] += x  # the documents of a blob are distinct
+        ids = pd.Series(doc, dtype="Int64").mask((flags & 1).astype(bool))
+        counts = {"n_tokens": tokens, "n_known": tokens - unknown, "train_tokens": np.full(len(rid), model.tokens, dtype=np.int64)}
+        return pd.DataFrame({"doc_id": ids, "held_out": (flags >> 1).astype(bool)} | counts | {"base_score": base * -UNIT, "score": score * -UNIT})
+
+    rows = packed.withColumn("docs", F.lit(None).cast("binary")).unionByName(docs)
+    return rows.groupBy("bucket").applyInPandas(add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _bucketed(df: DataFrame, n: int) -> DataFrame:
+    """df written once to the shared folder, bucketed by part: later passes join it by part without a shuffle."""
+    spark, name = df.sparkSession, f"lm_parts_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, "part").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
 
 
 def score_texts(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     held = crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT if held_out is None else held_out
-    rows = texts(docs).withColumn("rid", F.monotonically_increasing_id()).withColumn("held_out", held)
-    packed = rows.select("rid", "text", (~F.col("held_out")).alias("train"))
-    frequent, tokens = _frequent(packed, CONTEXT_WORDS)
-    n_parts = max(shuffle_partitions(docs.sparkSession), math.ceil(tokens / PART_TOKENS))
-    parts = materialize(_parts(packed, frequent, n_parts), "lm-parts")
-    shared = _train(parts, frequent)
-    found = rows.select("rid", "doc_id", "held_out").join(_scores(parts, shared), "rid")
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(shared.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    rows = texts(docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", held.alias("held_out"))
+    own = shuffle_partitions(docs.sparkSession)
+    often, tokens = _survey(rows)
+    n_parts = max(1, min(own, math.ceil(tokens / LEAST_PART_TOKENS)), math.ceil(tokens / PART_TOKENS))
+    hot = np.sort(np.array([_hash(bytes(r["word"])) for r in often.limit(max(HOT_WORDS, 4 * n_parts)).collect()], dtype=np.uint64))
+    buckets = math.ceil(n_parts / PARTS_A_BUCKET)
+    parts = _bucketed(_parts(rows, hot, n_parts, buckets, own), own)
+    model = _begin(parts, hot, buckets)
+    asked, states = _train(parts, model)
+    return _scores(parts, asked, model, states, own)
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.sources.storage import materialize, shared_dir, shuffle_partitions
+from quarry.sources.storage import discard, materialize, scratch_path, shared_dir, shuffle_partitions
 
-__all__ = ["WHITE", "UPPER", "table", "materialize", "shared_dir", "shuffle_partitions", "texts", "ascii_lower", "crc_mod", "filter_rows"]
+__all__ = ["WHITE", "UPPER", "table", "materialize", "discard", "scratch_path", "shared_dir", "shuffle_partitions", "texts", "packed", "unpacked", "text_hash", "ascii_lower", "crc_mod", "filter_rows"]
 
 #: ASCII white space, the set [\x20\x09-\x0D] that separates words and is stripped from lines.
 WHITE = " \t\n\x0b\x0c\r"
@@ -26,6 +26,7 @@ BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def _bound_batches(spark: SparkSession) -> None:
+    """Batches are bounded where a plan runs, which may be long after this returns: the session keeps the setting."""
     if spark.conf.get(BATCH_BYTES[0], None) is None:
         spark.conf.set(*BATCH_BYTES)
 
@@ -36,6 +37,21 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def packed(docs: DataFrame, *own: Column) -> DataFrame:
+    """(doc, own...): the columns of docs in one struct, so that names of our own beside it clash with none of them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *own)
+
+
+def unpacked(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns as they were before `packed`, those in `new` replaced."""
+    return rows.select(*[new[c].alias(c) if c in new else F.col("doc").getField(c).alias(c) for c in columns])
+
+
+def text_hash() -> Column:
+    """Tells rows of one doc_id apart by their text."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, UPPER.lower())
@@ -54,10 +70,11 @@ def filter_rows(docs: DataFrame, make: Callable[[], Callable[[str], bool]], text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = make()
         for batch in batches:
-            at = batch.schema.names.index(text_col)
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 yield part.filter(pa.array([keep(t or "") for t in part.column(at).to_pylist()], pa.bool_()))
 
     _bound_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    at = docs.columns.index(text_col)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # any name may be a user's, dots included
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -1,7 +1,7 @@
 import random
 from collections import defaultdict
 
-from helpers import LOW, ODD, WHITE, frame, prose
+from helpers import LOW, ODD, WHITE, frame, prose, untouched
 
 from quarry.llm import line_dedup
 
@@ -24,7 +24,9 @@ def brute(rows, least=20, docs=3):
 def run(spark, rows):
     got = line_dedup.dedup_lines(frame(spark, rows))
     assert got.columns == frame(spark, []).columns
-    return sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr)
+    got = got.collect()
+    assert untouched(got)
+    return sorted(((r["doc_id"], r["text"]) for r in got), key=repr)
 
 
 def test_matches_brute_force(spark):
@@ -53,3 +55,14 @@ def test_empty_table(spark):
 def test_bitmaps_reach_far_lines(spark):
     rows = [(i, "\n" * (64 * i) + "the very same line of words") for i in range(5)]
     assert run(spark, rows) == brute(rows)
+
+
+def test_no_python_runs(spark):
+    plan = line_dedup.dedup_lines(frame(spark, [(1, "x")]))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_bitmaps_leave_empty_words_out(spark):
+    rows = [(i, "\n" * 64_000 + "the very same line of words") for i in range(4)]
+    found = line_dedup.drop_bitmaps(frame(spark, rows)).collect()
+    assert [[tuple(x) for x in r["dropped"]] for r in found] == [[(1000, 1)]] * 3

@@ -48,3 +48,16 @@ def test_few_rows_and_none(spark):
 def test_repeated_rows_are_candidates_each(spark):
     rows = [(0, [1.0]), (3, [1.0]), (3, [1.0]), (2, [1.0])]
     assert [r[2] for r in run(spark, rows, 5)] == [2, 3, 3]
+
+
+def test_query_rows_of_one_id_are_queries_each(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0])] + [(i, [i / 16, (20 - i) / 16]) for i in range(1, 20)]
+    assert run(spark, rows, 5, (1, 3)) == run(spark, rows, 5) == brute(rows, 5, lambda q: q % 50 == 0)
+    assert len(run(spark, rows, 5)) == 10
+
+
+def test_only_answers_are_shuffled(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(100)], "vec_id long, embedding array<float>")
+    v = topk_search.quantize(df)
+    out = topk_search.exact_topk(v.where("id % 50 = 0"), v, 5)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 10

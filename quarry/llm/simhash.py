@@ -6,13 +6,16 @@ three bits agrees in the bit counts of at least three blocks, so every choice of
 (exact bit counts of the chosen blocks) hold all linked pairs together. Inside a cell the remaining segments are
 range-compared by Manhattan distance and survivors are verified by exact Hamming distance.
 
-Copies share a fingerprint and are one row. Cells never emit all their pairs: two rounds first link every row of a cell
-to one hub; only cells that still hold more than one component compare rows, and only across components. Such pairs
-cannot be linked yet, so no link between components is lost.
+Copies share a fingerprint and are one row. Two rounds first link every row of a cell to one hub; only cells that still
+hold more than one component compare rows, and only across components, so no link between components is lost. A cell of
+more than REFINE rows is cut by the bits of its three blocks, not their counts alone: of six blocks three bits spoil at most
+three, so a linked pair agrees in all bits of some choice of three, and that choice still holds it. This takes 32 bits
+where counts hold some 24, and the pairs of random fingerprints fall by the same factor.
 
 Defined cases: a null or empty text, or one of white space only, has fingerprint zero and links like any other; fewer
 words than a shingle give one shingle of them all; a null doc_id keeps its row and never names a component unless
-alone; repeated rows share a component; other columns pass through `keep_one`; empty tables give no rows.
+alone; repeated rows share a component; `keep_one` tells rows apart by doc_id and text, puts null ids last, keeps one of
+several rows equal in both and passes other columns, whatever their names, unchanged; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, shuffle_partitions, texts
+from quarry.llm.common import materialize, packed, shuffle_partitions, text_hash, texts, unpacked
 from quarry.llm.components import components
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
@@ -35,6 +38,8 @@ CHUNK = 1 << 15
 #: Segments of each block of the grid.
 BLOCK_SEGMENTS = (6, 6, 5, 5, 5, 5)
 LOW = 0x5555555555555555
+#: Rows of a cell from which it is cut by bits.
+REFINE = 256
 
 
 def fingerprint(text: str, shingle: int = SHINGLE, digest=xxhash.xxh64_intdigest) -> int:
@@ -64,16 +69,16 @@ def _bit_counts(hashes: list[int]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long): the fingerprint's bits as a signed long, one row a document."""
+    """(doc_id, row, fp long): the text's hash and its fingerprint's bits as a signed long, one row a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 prints = np.array([fingerprint(t, shingle) for t in part.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(prints)], ["doc_id", "row", "fp"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs).withColumn("row", text_hash()).mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def segment_counts(fp: Column) -> Column:
@@ -127,14 +132,20 @@ def link_components(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
         found = _hub_edges(known, k, bits)
         edges = materialize(found if edges is None else edges.unionByName(found), "hub-edges")
         known = materialize(_with_components(points, edges), "hub-components")
-    last = _cross_edges(known, bits)
+    last = materialize(_cross_edges(known, bits), "cross-edges")
     return _with_components(points, edges.unionByName(last))
 
 
+def _refined() -> Column:
+    """What a cell of many rows is cut by: the bits of its blocks."""
+    masks = F.array(*[F.lit(m) for m in grid_masks()])
+    return F.when(F.col("n") > REFINE, F.col("fp").bitwiseAND(F.get(masks, F.col("g")))).otherwise(F.lit(0).cast("long"))
+
+
 def _open_cells(known: DataFrame, pick: list[Column]) -> tuple[DataFrame, DataFrame]:
     """Rows in cells and, for cells of more than one component, what `pick` aggregates."""
     cells = _cells(known.withColumn("pc", segment_counts(F.col("fp"))))
-    mixed = cells.groupBy("g", "cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *pick).where(F.col("lo") != F.col("hi"))
+    mixed = cells.groupBy("g", "cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), *pick).where(F.col("lo") != F.col("hi"))
     return cells, mixed
 
 
@@ -150,26 +161,43 @@ def _hub_edges(known: DataFrame, k: int, bits: int) -> DataFrame:
 def _cross_edges(known: DataFrame, bits: int) -> DataFrame:
     """Links between rows of different components in one cell."""
     cells, mixed = _open_cells(known, [])
-    rows = cells.join(mixed.select("g", "cell"), ["g", "cell"])
-    one = rows.select("g", "cell", F.col("fp").alias("fp_a"), F.col("comp").alias("comp_a"))
-    two = rows.select("g", "cell", F.col("fp").alias("fp_b"), F.col("comp").alias("comp_b"))
-    pairs = one.join(two, (one["g"] == two["g"]) & (one["cell"] == two["cell"]) & (F.col("comp_a") < F.col("comp_b")))
+    rows = cells.join(mixed.select("g", "cell", "n"), ["g", "cell"]).withColumn("bits", _refined())
+    keys = ["g", "cell", "bits"]
+    one = rows.select(*keys, F.col("fp").alias("fp_a"), F.col("comp").alias("comp_a"))
+    two = rows.select(*keys, F.col("fp").alias("fp_b"), F.col("comp").alias("comp_b"))
+    pairs = one.join(two, keys).where(F.col("comp_a") < F.col("comp_b"))
     pairs = pairs.withColumn("pc_a", segment_counts(F.col("fp_a"))).withColumn("pc_b", segment_counts(F.col("fp_b")))
     return pairs.where(_near("a", "b", bits)).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fingerprint as 16 hex digits, component_id: the smallest doc_id reachable)."""
+def _classes(docs: DataFrame, best: Column, shingle: int = SHINGLE, bits: int = MAX_BITS) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of docs, and (fp, best): the least `best` among the rows that a fingerprint reaches."""
     prints = materialize(fingerprints(docs, shingle), "fingerprints")
     known = materialize(link_components(prints, bits), "components")
-    named = prints.groupBy("fp").agg(F.min("doc_id").alias("low")).join(known, "fp")
-    smallest = named.groupBy("comp").agg(F.min("low").alias("component_id"))
-    of_print = named.select("fp", "comp").join(smallest, "comp").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = prints.groupBy("fp").agg(F.min(best).alias("low")).join(known, "fp")
+    least = named.groupBy("comp").agg(F.min("low").alias("best"))
+    return prints, named.select("fp", "comp").join(least, "comp").select("fp", "best")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, fingerprint as 16 hex digits, component_id: the smallest doc_id reachable)."""
+    prints, classes = _classes(docs, F.col("doc_id"), shingle, bits)
+    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best").alias("component_id"))
+
+
+def _same(row: Column) -> Column:
+    """Equal for rows equal in doc_id and text; null ids come last."""
+    return F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the near-duplicates of a document of smaller doc_id; rows without doc_id stay."""
-    found = near_duplicates(docs)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    """One row of each class of near-duplicates: that of the smallest doc_id, of those its least text hash."""
+    prints, classes = _classes(docs, _same(F.col("row")))
+    counted = prints.groupBy("fp", _same(F.col("row")).alias("same")).agg(F.count("*").alias("n"))
+    told = materialize(counted.join(classes, "fp").select("same", (F.col("same") == F.col("best")).alias("stays"), "n"), "kept-rows")
+    kept = packed(docs, _same(text_hash()).alias("same")).join(told.where(~F.col("stays")).select("same"), "same", "left_anti")
+    repeated = told.where(F.col("stays") & (F.col("n") > 1)).select("same")
+    if not repeated.isEmpty():  # rows equal in id and text: aggregated before they are shuffled
+        once = kept.join(repeated, "same", "left_semi").groupBy("same").agg(F.first("doc").alias("doc"))
+        kept = kept.join(repeated, "same", "left_anti").select("doc").unionByName(once.select("doc"))
+    return unpacked(kept, docs.columns)

@@ -3,7 +3,7 @@ from itertools import combinations
 
 import pytest
 import xxhash
-from helpers import LOW, ODD, frame, prose
+from helpers import LOW, ODD, frame, prose, untouched
 from pyspark.sql import functions as F
 
 from quarry.llm import simhash
@@ -110,9 +110,51 @@ def test_documents(spark):
             low[comp[prints[t]]] = min(low.get(comp[prints[t]], i), i)
     want = sorted(((i, f"{prints[t]:016x}", low.get(comp[prints[t]])) for i, t in rows), key=repr)
     assert sorted(map(tuple, got), key=repr) == want
+    assert one_of_each(spark, rows) == kept_rows(rows)
+
+
+def kept_rows(rows):
+    """The first row of each class by doc_id, null ids last, and text hash."""
+    prints = {t: slow_print(t) for _, t in rows}
+    comp = union(sorted(set(prints.values())), lambda a, b: (a ^ b).bit_count() <= 3)
+    order = lambda r: (r[0] is None, r[0] or 0, (x := xxhash.xxh64_intdigest((r[1] or "").encode(), 42)) - (x >> 63 << 64))
+    best = {}
+    for r in sorted(rows, key=order):
+        best.setdefault(comp[prints[r[1]]], r)
+    return sorted(best.values(), key=repr)
+
+
+def one_of_each(spark, rows):
     kept = simhash.keep_one(frame(spark, rows))
     assert kept.columns == frame(spark, []).columns
-    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(i for i, t in rows if i is not None and low[comp[prints[t]]] == i)
+    kept = kept.collect()
+    assert untouched(kept)
+    return sorted(((r["doc_id"], r["text"]) for r in kept), key=repr)
+
+
+def test_repeated_ids_lose_no_unique_text(spark):
+    a, b, c, d = (prose(random.Random(k), 60) for k in range(4))
+    rows = [(1, a), (1, a), (1, a), (2, b)]
+    assert one_of_each(spark, rows) == [(1, a), (2, b)]
+    rows = [(1, a), (5, a), (5, c)]
+    assert one_of_each(spark, rows) == [(1, a), (5, c)]
+    rows = [(None, a), (None, a), (3, a), (None, d), (None, d), (7, b), (7, c)]
+    assert one_of_each(spark, rows) == kept_rows(rows) == sorted([(3, a), (None, d), (7, b), (7, c)], key=repr)
+
+
+def test_hot_cells_are_cut_by_bits(spark, monkeypatch):
+    """Cells of equal counts lose no link when they are cut, and random fingerprints meet in few pairs."""
+    rng = random.Random(6)
+    prints = set()
+    while len(prints) < 400:  # one of each two bits: all counts are equal
+        x = sum(1 << (2 * i + rng.getrandbits(1)) for i in range(32))
+        prints |= {x, x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 3)))}
+    signed = {x: x - 2**64 if x >> 63 else x for x in prints}
+    want = union(sorted(prints), lambda a, b: (a ^ b).bit_count() <= 3)
+    for least in (2, simhash.REFINE):
+        monkeypatch.setattr(simhash, "REFINE", least)
+        got = {r["fp"]: r["comp"] for r in simhash.link_components(spark.createDataFrame([(x,) for x in signed.values()], "fp long")).collect()}
+        assert all((got[signed[a]] == got[signed[b]]) == (want[a] == want[b]) for a, b in combinations(prints, 2))
 
 
 def test_empty_table(spark):

@@ -108,10 +108,16 @@ class Codec:
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
-def codec(ranks_path: str, pattern: str) -> Codec:
-    if (ranks_path, pattern) not in _codecs:
-        _codecs[ranks_path, pattern] = Codec(load_ranks(ranks_path), pattern)
-    return _codecs[ranks_path, pattern]
+def shipped(docs: DataFrame, ranks_path: str, pattern: str) -> Callable[[], Codec]:
+    """The codec of a rank file that the driver reads: its table, of fixed size, goes to the workers by broadcast."""
+    table = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
+
+    def codec() -> Codec:
+        if (ranks_path, pattern) not in _codecs:
+            _codecs[ranks_path, pattern] = Codec(table.value, pattern)
+        return _codecs[ranks_path, pattern]
+
+    return codec
 
 
 def _per_batch(docs: DataFrame, make: Callable[[list], pa.RecordBatch], schema: str) -> DataFrame:
@@ -126,9 +132,10 @@ def _per_batch(docs: DataFrame, make: Callable[[list], pa.RecordBatch], schema:
 
 def encode_texts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, ids array<int>, n_tokens) for every row."""
+    codec = shipped(docs, ranks_path, pattern)
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch:
-        own = codec(ranks_path, pattern)
+        own = codec()
         ids = [own.encode(t) for t in part.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64())], ["doc_id", "ids", "n_tokens"])
 
@@ -137,9 +144,10 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 def decode_ids(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, bytes binary) of (doc_id, ids); ids without a piece raise KeyError."""
+    codec = shipped(encoded, ranks_path, pattern)
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch:
-        own = codec(ranks_path, pattern)
+        own = codec()
         return pa.RecordBatch.from_arrays([part.column(0), pa.array([own.decode(i or []) for i in part.column(1).to_pylist()], pa.binary())], ["doc_id", "bytes"])
 
     return _per_batch(encoded.select("doc_id", "ids"), make, "doc_id long, bytes binary")
@@ -147,9 +155,10 @@ def decode_ids(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): both directions in one pass over the texts."""
+    codec = shipped(docs, ranks_path, pattern)
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch:
-        own = codec(ranks_path, pattern)
+        own = codec()
         found = [(n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()) for n, ids, raw in map(own.digest, part.column(1).to_pylist())]
         counts, ids, raw = zip(*found) if found else ((), (), ())
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(raw, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -13,7 +13,7 @@ from quarry.llm import byte_bpe
 PATH, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 RANKS = byte_bpe.load_ranks(PATH)
 ORACLE = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=RANKS, special_tokens={})
-CODEC = byte_bpe.codec(PATH, PATTERN)
+CODEC = byte_bpe.Codec(byte_bpe.load_ranks(PATH), PATTERN)
 
 
 @given(st.text(max_size=200) | st.text(alphabet="ab \n\t'st \u0085\x1c​1é漢", max_size=80))

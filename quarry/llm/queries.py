@@ -47,7 +47,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id",
-        *[F.size(_of_kind("base", k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS[:4])],
+        *[F.size(_of_kind("base", k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.BASE)],
         F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"),
         pii.span_text(F.col("spans")).alias("spans"),
     )

@@ -34,6 +34,7 @@ def base(text):
     return sorted(out)
 
 
+SECRET = pii.KINDS.index("secret")
 PIECES = ["a@b.c", "_d@e.f", "%x+y@h-i.j.k", "1.2.3.4", "256.1.1.1", "001.02.3.004", ".5.6.7.8", "4337166598464399", "4242 4242 4242 4242", "4242-4242-4242-4242", "+1 (988) 555-2485", "+44-20", "+", "@", "..", "é", "\U0001f600", " ", "\n", "12345678901234567890", "--", "1.1.1.1.1.1", "a", "0"]
 
 
@@ -80,7 +81,7 @@ def secrets():
 def test_secrets_are_added_and_clean_texts_left_alone(spark, secrets):
     rows, places = secrets
     for r in run(spark, rows):
-        assert [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == 4] == places[r["doc_id"]]
+        assert [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == SECRET] == places[r["doc_id"]]
         assert set(map(tuple, r["base"])) <= set(map(tuple, r["spans"]))
 
 
@@ -110,3 +111,69 @@ def test_empty_table_and_no_python_in_the_plan(spark):
     assert run(spark, []) == []
     plan = pii.scan(frame(spark, [(1, "x")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_very_many_matches_end(spark):
+    """Places are summed up in blocks: a hundred thousand matches take seconds."""
+    n = 100_000
+    rows = [(1, "1.2.3.4 " * n), (2, "a@b.c 5.6.7.8 token=abc123def456ghi7 " * 3000)]
+    got = {r["doc_id"]: r for r in run(spark, rows)}
+    assert [tuple(s) for s in got[1]["base"]] == [(8 * i, 1, 8 * i + 7) for i in range(n)]
+    assert [tuple(s) for s in got[2]["base"]] == base(rows[1][1])
+
+
+def iban(country, rest):
+    digits = "".join(str(int(c, 36)) for c in rest + country + "00")
+    return f"{country}{98 - int(digits) % 97:02d}{rest}"
+
+
+@pytest.fixture(scope="module")
+def planted():
+    """Texts with one added span each, its kind and place, and texts with lookalikes only."""
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    rows, want = [], {}
+    for i in range(400):
+        a, b = prose(rng, 10), prose(rng, 6)
+        if i % 8 == 0:
+            kind, value, lead = "secret", "".join(rng.choice("0123456789abcdef") for _ in range(40)), "token = "
+        elif i % 8 == 1:
+            kind, value, lead = "secret", rng.choice(["hunter", "letmein", "correcthorse"]) + str(rng.randint(1, 9)), "password: "
+        elif i % 8 == 2:
+            kind, value, lead = "secret", "".join(rng.choice(letters) for _ in range(39)) + "=", "api_key="
+        elif i % 8 == 3:
+            kind, value, lead = "iban", iban("DE", "".join(rng.choice("0123456789") for _ in range(18))), "IBAN "
+        elif i % 8 == 4:
+            kind, value, lead = "name", rng.choice(pii.GIVEN_NAMES) + " " + prose(rng, 1).capitalize() + "son", "my name is "
+        else:
+            rows.append((i, f"{a} model 12x, section12b of chapter3, AB12 CDEF GHIJ and New Order. {b}"))
+            continue
+        rows.append((i, f"{a} {lead}{value} {b}"))
+        want[i] = (kind, rows[-1][1].index(value), rows[-1][1].index(value) + len(value))
+    return rows, want
+
+
+def test_recall_and_precision_of_added_spans(spark, planted):
+    rows, want = planted
+    got = {r["doc_id"]: [(pii.KINDS[s["kind"]], s["start"], s["end"]) for s in r["spans"] if s["kind"] >= len(pii.BASE)] for r in run(spark, rows)}
+    for kind in pii.ADDED:
+        own = {i: w for i, w in want.items() if w[0] == kind}
+        hits = sum(w in got[i] for i, w in own.items())
+        said = sum(s[0] == kind for spans in got.values() for s in spans)
+        assert hits / len(own) >= 0.95, (kind, hits, len(own))
+        assert hits / said >= 0.95, (kind, hits, said)
+
+
+def test_account_numbers_are_checked(spark):
+    good, bad = "GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 33"
+    rows = [(1, good), (2, bad)]
+    got = spark.createDataFrame(rows, "doc_id long, text string").select(pii._mod97(F.col("text")).alias("r")).collect()
+    assert [r["r"] == 1 for r in got] == [True, False]
+
+
+def test_spans_that_overlap_are_told_over_many_blocks(spark):
+    of = [(10 * i, 0, 10 * i + 4) for i in range(500)]
+    spans = [(x, 5, x + 2) for x in range(0, 5200, 3)]
+    df = spark.createDataFrame([(spans, of)], f"s array<{pii.SPAN}>, o array<{pii.SPAN}>")
+    got = [tuple(x) for x in df.select(pii._free(F.col("s"), F.col("o"), pii.SPAN).alias("x")).first()["x"]]
+    assert got == [s for s in spans if not any(s[0] < o[2] and o[0] < s[2] for o in of)]

@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.sources.storage import discard, materialize, scratch_path, shared_dir, shuffle_partitions
+from quarry.sources.storage import discard, materialize, scratch_path, shuffle_partitions
 
-__all__ = ["WHITE", "UPPER", "table", "materialize", "discard", "scratch_path", "shared_dir", "shuffle_partitions", "texts", "packed", "unpacked", "text_hash", "ascii_lower", "crc_mod", "filter_rows"]
+__all__ = ["WHITE", "UPPER", "table", "materialize", "discard", "scratch_path", "shuffle_partitions", "texts", "packed", "unpacked", "text_hash", "ascii_lower", "crc_mod", "filter_rows"]
 
 #: ASCII white space, the set [\x20\x09-\x0D] that separates words and is stripped from lines.
 WHITE = " \t\n\x0b\x0c\r"

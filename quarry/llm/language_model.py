@@ -39,13 +39,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import crc_mod, materialize, shared_dir, shuffle_partitions, texts
+from quarry.llm.common import crc_mod, discard, materialize, scratch_path, shuffle_partitions, texts
 
 FOLDS, HELD_OUT, SEED = 7, 2, 97
 SWEEPS, BURN_IN = 6, 3
 STRENGTH_ROOT, STRENGTH = 10.0, 5.0
 #: Tokens packed at once by a task, at least and at most; tokens of one part in it.
-FLUSH_TOKENS, MOST_TOKENS, SLICE_TOKENS = 400_000, 1_200_000, 20_000
+FLUSH_TOKENS, MOST_TOKENS, SLICE_TOKENS = 400_000, 1_000_000, 20_000
 #: Tokens a part should hold, and the least for which a part is made; parts that share one bucket of contexts.
 PART_TOKENS, LEAST_PART_TOKENS, PARTS_A_BUCKET = 3_000_000, 50_000, 4
 #: Layout only: words of which a flush holds this share may be spread, so many of them at least.
@@ -283,7 +283,7 @@ def _doc_bucket(rid: np.ndarray, buckets: int) -> np.ndarray:
     return (rid + (rid >> 33) * 7919) % buckets
 
 
-PARTS = "part long, bucket long, docs binary, words binary, types binary, open binary, entries binary, asked binary, gives binary, sum_at array<long>, sum_n array<long>"
+PARTS = "part long, bucket long, docs binary, words binary, types binary, open binary, entries binary, asked binary, gives binary, sums binary"
 
 
 def _rows(schema: str, rows: list[dict]) -> pd.DataFrame:
@@ -309,8 +309,8 @@ def _parts(rows: DataFrame, hot: np.ndarray, parts: int, buckets: int, doc_bucke
             hashes = hashes[by_hash]
             keys = np.concatenate([[np.uint64(START)], _context(hashes)])
             sizes = np.array([len(x) for x in local])
-            token, row = rank[np.concatenate(local)], np.repeat(np.arange(len(local)), sizes)
-            context = np.concatenate([[0], token[:-1] + 1])
+            token, row = rank[np.concatenate(local)].astype(np.int32), np.repeat(np.arange(len(local), dtype=np.int32), sizes)
+            context = np.concatenate([np.zeros(1, dtype=np.int32), token[:-1] + 1])
             context[np.cumsum(sizes)[:-1]] = 0  # a text begins
             train = np.repeat(np.array([not held for _, _, held in of_row]), sizes)
             part = _spread(hashes[token], keys[context], np.isin(hashes, hot)[token], parts)
@@ -342,7 +342,7 @@ def _parts(rows: DataFrame, hot: np.ndarray, parts: int, buckets: int, doc_bucke
             for rid, doc, text, held in zip(*(c.to_pylist() for c in batch.columns)):
                 words = _words(text)
                 words.append(END)
-                local.append(np.array([ids.setdefault(w, len(ids)) for w in words], dtype=np.int64))
+                local.append(np.array([ids.setdefault(w, len(ids)) for w in words], dtype=np.int32))
                 of_row.append((rid, doc, held))
                 tokens += len(words)
                 if tokens >= most:
@@ -384,7 +384,7 @@ def _parts(rows: DataFrame, hot: np.ndarray, parts: int, buckets: int, doc_bucke
             "types": _pack(_small(asks), _small(seen)),
             "open": _pack(_steps(words[own.busy]), _small(own.closed[own.busy]), _small(np.bincount(own.of[own.open], minlength=len(words))[own.busy]), _steps(keys[open_keys]), _small(open_asks), _small(seen[own.open])),
             "entries": _pack(entries.astype(np.uint32), _small(place), count, _steps(docs)),
-            **_summands(own.hot_at[own.is_hot], len(hot), own.count[own.is_hot], own.kinds[own.is_hot], tail=own.stats()),
+            "sums": _summands(own.hot_at[own.is_hot], len(hot), own.count[own.is_hot], own.kinds[own.is_hot], tail=own.stats()),
         }]
         of_open = _bucket(keys[open_keys], buckets)
         for b, first, end in _slices(_bucket(keys, buckets)):
@@ -421,21 +421,33 @@ class Words:
         return [int(x) for x in [self.count.sum(), *own, np.count_nonzero(kinds), kinds.sum(), *(np.count_nonzero(kinds == k) for k in (1, 2)), still.sum()]]
 
 
-def _summands(at: np.ndarray, width: int, *columns: np.ndarray, tail: list[int]) -> dict[str, list[int]]:
+def _summands(at: np.ndarray, width: int, *columns: np.ndarray, tail: list[int]) -> bytes:
     """Numbers to be summed over parts: columns of `width` numbers of which those at `at` are given, then the tail."""
     where = np.concatenate([np.zeros(0, dtype=np.int64), *(at + i * width for i in range(len(columns)))])
-    return {"sum_at": [*where.tolist(), *range(len(columns) * width, len(columns) * width + len(tail))], "sum_n": [*np.concatenate([np.zeros(0, dtype=np.int64), *columns]).astype(np.int64).tolist(), *tail]}
+    return _pack(np.append(where, np.arange(len(tail)) + len(columns) * width), np.concatenate([np.zeros(0, dtype=np.int64), *columns, tail]).astype(np.int64))
 
 
-def _sums(rows: DataFrame, n: int) -> np.ndarray:
-    """n sums over parts."""
-    each = rows.where(F.col("sum_at").isNotNull()).select(F.explode(F.arrays_zip("sum_at", "sum_n")).alias("x"))
-    out = np.zeros(n)
-    for r in each.groupBy("x.sum_at").agg(F.sum("x.sum_n").alias("n")).collect():  # two rows for each hot word at most
-        out[r["sum_at"]] = r["n"]
+def _added(blobs, n: int) -> np.ndarray:
+    out = np.zeros(n, dtype=np.int64)
+    for at, x in map(_unpack, blobs):
+        out[at] += x  # the places of a part are distinct
     return out
 
 
+def _sums(rows: DataFrame, n: int) -> np.ndarray:
+    """n sums over parts: added up in groups of parts, about as many groups as parts in each, and then here."""
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = _added(group["sums"], n)
+        at = np.flatnonzero(total)
+        return pd.DataFrame({"sums": [_pack(at, total[at])]})
+
+    own = rows.where(F.col("sums").isNotNull()).select("part", "sums")
+    groups = math.isqrt(max(1, shuffle_partitions(rows.sparkSession)))
+    found = own.groupBy(F.pmod("part", F.lit(groups)).alias("g")).applyInPandas(add, "sums binary").collect()
+    return _added([bytes(r["sums"]) for r in found], n).astype(np.float64)
+
+
 # ---------- the model ----------
 
 
@@ -484,7 +496,7 @@ class Model:
         return np.where(is_hot, state.hot_customers[at], customers), np.where(is_hot, state.hot_tables[at], tables)
 
 
-STATES = "part long, bucket long, tables binary, gives binary, sum_at array<long>, sum_n array<long>"
+STATES = "part long, bucket long, tables binary, gives binary, sums binary"
 ASKED = "bucket long, part long, all binary, open binary, sums binary"
 REPLIES = "part long, bucket long, state int, reply binary"
 
@@ -573,7 +585,7 @@ def _sweep(model: Model, sweep: int):
         out = [{
             "part": part,
             "tables": _pack(_small(tables), _small(mine_tables)),
-            **_summands(at[is_hot], len(model.hot), mine[is_hot], tail=[int(mine[cold].sum()), int(mine_tables.sum())]),
+            "sums": _summands(at[is_hot], len(model.hot), mine[is_hot], tail=[int(mine[cold].sum()), int(mine_tables.sum())]),
         }]
         gives = np.bincount(asks, tables, minlength=len(keys))
         out += [{"part": part, "bucket": b, "gives": _pack(_small(gives[x:y]))} for b, x, y in _slices(_bucket(keys, model.buckets))]
@@ -618,6 +630,8 @@ def _train(parts: DataFrame, model: Model) -> tuple[DataFrame, dict[int, DataFra
         states[k] = gives = materialize(swept, f"lm-sweep{k}")
         sums = _sums(gives, n + 2)
         tables = model.seat_root(k, model.hot, sums[:n], model.states[-1].hot_tables)
+        if 1 < k <= BURN_IN + 1:
+            discard(states[k - 1])
         model.states.append(State(sums[n] + model.still + sums[:n].sum(), sums[n + 1] + model.still + tables.sum(), sums[:n], tables))
     return asked, {k: s for k, s in states.items() if k > BURN_IN}
 
@@ -691,7 +705,7 @@ def _scores(parts: DataFrame, asked: DataFrame, model: Model, states: dict[int,
 def _bucketed(df: DataFrame, n: int) -> DataFrame:
     """df written once to the shared folder, bucketed by part: later passes join it by part without a shuffle."""
     spark, name = df.sparkSession, f"lm_parts_{uuid.uuid4().hex}"
-    df.write.bucketBy(n, "part").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    df.write.bucketBy(n, "part").option("path", scratch_path(spark, "lm-parts")).saveAsTable(name)
     return spark.table(name)
 
 

@@ -1,10 +1,13 @@
-"""License scans by key shingles over overlapping windows, in DataFrame functions only.
+"""License scans by MinHash bands over overlapping windows, in DataFrame functions only.
 
 Templates and texts are sequences of words (runs of letters and digits, lower-cased) and their five-word shingles.
 Templates of like size form a class; texts are cut into windows of twice the class's size at half their width, so every
-passage of a template's size lies whole in one window. A match may miss a share of 1 - containment of a template's
-shingles, so of one shingle more than that it holds at least one: these keys retrieve templates, and none is lost.
-Exact containment of the template's shingles then decides.
+passage of a template's size lies whole in one window. Each of ROUNDS seeded hashes deals the shingles of a window or
+template to BINS bins, and the least hash of each bin is a band (MinHash by one permutation a round). Window and template
+meet where they share a band: a shared shingle is one unless a lesser hash lies in its bin. Among w shingles of a window
+and m of a template that happens with probability 1 - exp(-(w + m) / 2 BINS) at most; the hardest case is a template of one
+shingle, which a window of its class (12 shingles) hides with 0.025 a round and 4e-7 in all four; templates of more
+shingles would have to lose all they share. Exact containment of the template's shingles then decides.
 
 Only texts that hold one of a few words of a template are cut: the words are chosen so that their shingles outnumber those a
 match may miss, hence a text without any of them cannot match.
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import texts
 
 SHINGLE, CONTAINMENT = 5, 0.8
+ROUNDS, BINS = 4, 256
 #: Notices as their licenses word them.
 TEMPLATES = {
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
@@ -84,12 +88,26 @@ def _cuts(size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size("words") - 1, F.lit(size)), lambda at: F.struct(F.lit(size).alias("size"), at.alias("at")))
 
 
-def _template_rows(spark: SparkSession, classes: dict[int, dict[str, list[str]]], containment: float) -> DataFrame:
-    """(size, license, wanted, key): a row for each key, a shingle more than a match may miss."""
+def _bands(shingles: Column) -> Column:
+    """The least hash of each bin in each round; a hash tells its round and bin."""
+
+    def dealt(seed: int) -> Column:
+        hashed = F.transform(shingles, lambda h: F.xxhash64(F.lit(seed), h))
+        ordered = F.array_sort(F.transform(hashed, lambda h: F.struct(F.pmod(h, F.lit(BINS)).alias("bin"), h.alias("value"))))
+
+        def least(x: Column) -> Column:
+            first = F.filter(x, lambda e, i: (i == 0) | (F.get(x, i - 1)["bin"] != e["bin"]))
+            return F.transform(first, lambda e: e["value"])
+
+        return F.get(F.transform(F.array(ordered), least), 0)
+
+    return F.concat(*[dealt(seed) for seed in range(1, ROUNDS + 1)])
+
+
+def _template_rows(spark: SparkSession, classes: dict[int, dict[str, list[str]]]) -> DataFrame:
+    """(size, license, wanted, bands): the shingles and bands of each template."""
     rows = spark.createDataFrame([(size, name, words) for size, own in classes.items() for name, words in own.items()], "size int, license string, words array<string>")
-    rows = rows.withColumn("wanted", _shingles(F.col("words")))
-    n_keys = F.floor((1 - containment) * F.size("wanted") + 1e-9).cast("int") + 1
-    return rows.select("size", "license", "wanted", F.explode(F.slice("wanted", F.lit(1), n_keys)).alias("key"))
+    return rows.withColumn("wanted", _shingles(F.col("words"))).withColumn("bands", _bands(F.col("wanted"))).drop("words")
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
@@ -106,10 +124,12 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
     windows = rows.select("row", "doc_id", "words", F.explode(F.concat(no_cuts, *cuts)).alias("cut"))
     windows = windows.select("row", "doc_id", "cut.size", "cut.at", F.slice("words", F.col("cut.at") + 1, 2 * F.col("cut.size")).alias("words"))
     windows = windows.withColumn("held", _shingles(F.col("words"))).drop("words")
-    wanted = _template_rows(spark, classes, containment)
-    keys = [r["key"] for r in wanted.select("key").distinct().collect()]
-    keyed = windows.withColumn("key", F.explode(F.filter("held", lambda h: h.isin(keys))))
-    pairs = keyed.join(F.broadcast(wanted), ["size", "key"])  # a fifth of the templates' shingles, a fixed number
+    wanted = _template_rows(spark, classes)
+    bands = {(r["size"], r["license"]): r["bands"] for r in wanted.collect()}  # a few templates
+    banded = windows.withColumn("bands", F.filter(_bands(F.col("held")), lambda v: v.isin(sorted({v for own in bands.values() for v in own}))))
+    meets = [F.when((F.col("size") == size) & F.arrays_overlap("bands", F.array(*map(F.lit, own))), name) for (size, name), own in bands.items()]
+    met = banded.where(F.size("bands") > 0).withColumn("license", F.explode(F.array_compact(F.array(*meets)))).drop("bands")
+    pairs = met.join(F.broadcast(wanted.drop("bands")), ["size", "license"])  # a few templates
     share = F.size(F.array_intersect("held", "wanted")) / F.size("wanted")
     out = pairs.select("row", "doc_id", "license", "at", share.alias("share")).where(F.col("share") >= containment)
     best = F.max(F.struct("share", -F.col("at"))).alias("best")

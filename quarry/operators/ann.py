@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.vectors import dot
 from quarry.operators import knn
+from quarry.sources.storage import materialize
 
 TRAIN_ROWS, LEAST_CELLS, GRAPH_LINKS, SEARCH_WIDTH = 10_000, 64, 32, 128
 
@@ -25,6 +28,10 @@ class FlatIndex:
     def search(self, query: Sequence[float], n: int) -> DataFrame:
         return knn.search(self.vectors, query, n, self.metric)
 
+    def settings(self) -> dict[str, Any]:
+        """What a stored index must remember of itself."""
+        return {"kind": "flat", "metric": self.metric}
+
 
 @dataclass
 class GraphIndex(FlatIndex):
@@ -34,6 +41,9 @@ class GraphIndex(FlatIndex):
     build_width: int = max(200, 2 * GRAPH_LINKS)
     search_width: int = SEARCH_WIDTH
 
+    def settings(self) -> dict[str, Any]:
+        return {"kind": "hnsw", "metric": self.metric, "links": self.links, "build_width": self.build_width, "search_width": self.search_width}
+
 
 @dataclass
 class IvfIndex:
@@ -43,9 +53,24 @@ class IvfIndex:
     centroids: np.ndarray
     probes: int = 1
 
+    def _nearest_cells(self, query: Sequence[float]) -> list[int]:
+        return np.argsort(-(self.centroids @ np.asarray(query, dtype=np.float64)), kind="stable")[: self.probes].tolist()
+
     def search(self, query: Sequence[float], n: int) -> DataFrame:
-        order = np.argsort(-(self.centroids @ np.asarray(query, dtype=np.float64)), kind="stable")[: self.probes]
-        return knn.search(self.cells.where(F.col("cell").isin([int(c) for c in order])), query, n)
+        return knn.search(self.cells.where(F.col("cell").isin(self._nearest_cells(query))), query, n)
+
+    def search_batch(self, queries: list[tuple[int, Sequence[float]]], n: int) -> DataFrame:
+        """(query_id, row_id, _score, _rank): each query meets the rows of its own cells only; at most BATCH_QUERIES queries."""
+        if len(queries) > knn.BATCH_QUERIES:
+            raise ValueError(f"a batch holds at most {knn.BATCH_QUERIES} queries")
+        asked = [(int(q), cell, [float(x) for x in v]) for q, v in queries for cell in self._nearest_cells(v)]
+        probes = self.cells.sparkSession.createDataFrame(asked, "query_id long, cell int, query_vector array<double>")
+        scored = self.cells.join(F.broadcast(probes), "cell").select("query_id", "row_id", dot(F.col("embedding"), F.col("query_vector")).alias("_score"))
+        ranks = Window.partitionBy("query_id").orderBy(F.desc("_score"), "row_id")
+        return scored.withColumn("_rank", F.row_number().over(ranks)).where(F.col("_rank") <= n)
+
+    def settings(self) -> dict[str, Any]:
+        return {"kind": "ivf", "metric": "ip", "nlist": len(self.centroids), "probes": self.probes}
 
 
 def cell_count(n: int, nlist: int | None = None) -> int:
@@ -56,7 +81,8 @@ def train_centroids(vectors: DataFrame, nlist: int, seed: int = 1) -> np.ndarray
     """KMeans over the first TRAIN_ROWS rows by row_id."""
     first = vectors.where(F.col("row_id") < TRAIN_ROWS).select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     model = KMeans(k=nlist, seed=seed, maxIter=20).fit(first.repartition(1))  # bounded; one partition fixes the initial draw
-    return np.array(model.clusterCenters())
+    centres = np.array(model.clusterCenters())
+    return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)  # cells are picked by inner product
 
 
 def assign_cells(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
@@ -79,7 +105,7 @@ def assign_cells(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
 
 def build_ivf(vectors: DataFrame, nlist: int | None = None, probes: int = 1) -> IvfIndex:
     centroids = train_centroids(vectors, cell_count(vectors.count(), nlist))
-    return IvfIndex(assign_cells(vectors, centroids), centroids, probes)
+    return IvfIndex(materialize(assign_cells(vectors, centroids), "ivf-cells"), centroids, probes)
 
 
 def _graph(vectors: DataFrame, nlist: int | None, links: int) -> GraphIndex:
@@ -95,5 +121,5 @@ BUILDERS: dict[str, Callable] = {
 
 def build_index(vectors: DataFrame, kind: str = "hnsw", nlist: int | None = None, links: int = GRAPH_LINKS):
     if kind not in BUILDERS:
-        raise ValueError("index_type must be one of: flat, hnsw, ivf")
+        raise ValueError(f"unknown index kind {kind!r}: one of {', '.join(BUILDERS)}")
     return BUILDERS[kind](vectors, nlist, links)

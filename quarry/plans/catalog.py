@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import spell, textnorm
@@ -17,8 +17,10 @@ from quarry.functions.encoders import HashingEncoder
 from quarry.functions.vectors import cosine, l2_normalize, norm
 from quarry.operators import ann, dedup, etl, filters, knn, present
 from quarry.operators.shard import shard_rows
-from quarry.plans.engine import catalog_vocabulary, ranked_results
+from quarry.plans.engine import Engine, build_artifacts, catalog_vocabulary, ranked_results
+from quarry.sources import readers, sinks
 from quarry.sources.artifacts import corpus_stats
+from quarry.sources.storage import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -99,9 +101,9 @@ def knn_exact_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT query_id, row_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS rank FROM (
             SELECT q.vec_id AS query_id, e.vec_id AS row_id, {DOT_SQL.format(a="e.embedding", b="q.embedding")} AS score
-            FROM embeddings e, embeddings q WHERE q.label = 3 AND q.vec_id % 25 = 3)) WHERE rank <= 3""")
+            FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)) WHERE rank <= 3""")
 def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "embeddings").where("label = 3 AND vec_id % 25 = 3")
+    own = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0")
     found = knn.search_batch(vectors(spark, sf_dir), own.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), 3)
     return found.select("query_id", "row_id", F.round("_score", 6).alias("score"), F.col("_rank").alias("rank"))
 
@@ -144,6 +146,7 @@ _filter_query("filter_category_anyof", {"category_name": ["Promo", "arge"]}, "co
 _filter_query("filter_category_none", {"category_name": []}, "false")
 _filter_query("filter_stars", {"stars_min": 1.5, "stars_max": 3.0}, "stars BETWEEN 1.5 AND 3.0")
 _filter_query("filter_bestseller", {"isBestSeller": True}, '"isBestSeller"')
+_filter_query("filter_not_bestseller", {"isBestSeller": False}, 'NOT "isBestSeller"')
 _filter_query("filter_unknown_keys", {"brand": "x", "category": "y", "price_max": None}, "true")
 
 
@@ -278,14 +281,21 @@ def ivf_probe1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row_id", F.round("_score", 6).alias("score"))
 
 
-@query()
+#: Cells of the KMeans file and how many of them a search reads: the vectors are nearly uniform on the sphere.
+RECALL_CELLS, RECALL_PROBES, RECALL = 16, 13, 0.9
+
+
+@query("SELECT count(*) AS queries, 10 * count(*) AS wanted, true AS reached FROM embeddings WHERE vec_id % 50 = 0")
 def kmeans_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of the exact ten nearest that four probes of a KMeans inverted file find."""
-    v, q = vectors(spark, sf_dir), first_vector(spark, sf_dir)
-    index = ann.build_ivf(v, nlist=16, probes=4)
-    exact = knn.search(v, q, 10).select("row_id")
-    found = index.search(q, 10).select("row_id", F.lit(1).alias("hit"))
-    return exact.join(found, "row_id", "left").agg((F.count("hit") / F.count("*")).alias("recall"))
+    """Whether a KMeans inverted file finds the wanted share of the exact ten nearest, over every vector whose id is divisible by 50."""
+    v = vectors(spark, sf_dir)
+    index = ann.build_ivf(v, nlist=RECALL_CELLS, probes=RECALL_PROBES)
+    asked = v.where("row_id % 50 = 0").select(F.col("row_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    exact = knn.search_batch(v, asked, 10).select("query_id", "row_id")
+    found = index.search_batch([(r[0], r[1]) for r in asked.collect()], 10).select("query_id", "row_id", F.lit(1).alias("hit"))
+    both = exact.join(found, ["query_id", "row_id"], "left")
+    share = F.count("hit") / F.count("*")
+    return both.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("wanted"), (share >= RECALL).alias("reached"))
 
 
 @query("""
@@ -364,44 +374,94 @@ def spell_correct_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------- text normalization ----------
 
 
-#: Titles with sizes, packs, prices and noise around each part's name.
-def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = F.concat_ws(" ", F.col("p_name"), F.concat(F.col("p_size").cast("string"), F.lit('"')), F.lit("12oz 3-piece set of 5 grey iv 4.5 stars 20 reviews save 10% rs 99.50 bestseller 2 in 1"), F.concat(F.col("p_size").cast("string"), F.lit(" lbs")))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), F.lower(title).alias("t"))
-
+#: Texts and what each stage makes of them, written down by hand from the rules; {w} stands for a part's name, {v} for the name
+#: without the word "new". Every part takes one of the cases, by its key.
+GOLDENS: dict[str, tuple[Callable, list[tuple[str, str]]]] = {
+    "clean_entities": (textnorm.strip_html, [
+        ("<b>{w}</b> &amp; more", " {w}  & more"), ("{w} &lt;i&gt;x&lt;/i&gt;", "{w}  x "), ("5 &gt; 3 {w}", "5 > 3 {w}"),
+        ("&quot;{w}&quot; &#39;q&#39; &eacute;", "\"{w}\" 'q' é"), ("{w}&nbsp;<br/>end &#x41;", "{w}  end A"),
+    ]),
+    "clean_unicode": (textnorm.unicode_lower, [
+        ("ＡＢＣ {w}", "abc {w}"), ("ﬁne {w} Ⅳ", "fine {w} iv"), ("{w} ½", "{w} 1⁄2"), ("É {w} ÀB", "é {w} àb"), ("{w} X²", "{w} x2"), ("Plain {w}", "plain {w}"),
+    ]),
+    "clean_quotes": (textnorm.normalize_units, [
+        ("24” {w}", "24 inch {w}"), ("6’ {w}", "6 feet {w}"), ("“{w}”", '"{w}"'), ("5′ x 7\" {w}", "5 feet x 7 inch {w}"), ("{w} it’s", "{w} it's"),
+    ]),
+    "clean_units": (textnorm.normalize_units, [
+        ("3.5inches {w} 12 ounces", "3.5 inch {w} 12 oz"), ("{w} 500millilitre", "{w} 500 ml"), ("2lbs {w} 1 pound", "2 lb {w} 1 lb"), ("1.5 terabyte {w}", "1.5 tb {w}"),
+        ("10cm x 20mm {w}", "10 cm x 20 mm {w}"), ("2 in 1 {w}", "2 inch 1 {w}"), ("3kilograms {w} 40gms", "3 kg {w} 40 g"), ("8gigabytes 16mb {w} 2litre", "8 gb 16 mb {w} 2 l"),
+    ]),
+    "clean_slash_groups": (textnorm.expand_groups, [
+        ("{w} 20/24/28", "{w} 20 inch 24 inch 28 inch"), ("sizes 3-5 {w}", "sizes 3 5 {w}"), ("{w} 100/300", "{w} 100 300"), ("7/8 {w}", "7 inch 8 inch {w}"), ("{w} 200/9 a", "{w} 200 inch 9 inch a"),
+    ]),
+    "clean_parentheses": (textnorm.unwrap_parentheses, [
+        ("{w} ()", "{w}  "), ("{w} (AB12-34X)", "{w}  "), ("{w} (20/24)", "{w}  20 inch 24 inch "), ("({w})x", " {w} x"), ("{w} ( in box ) y", "{w}  in box  y"),
+    ]),
+    "clean_abbreviations": (textnorm.expand_abbreviations, [
+        ("{w} w/lid", "{w} withlid"), ("{w} w/o lid", "{w} without lid"), ("w/ {w}", "w/ {w}"), ("3 pcs blk {w}", "3 pieces black {w}"), ("qty 2 tsp {w}", "quantity 2 teaspoon {w}"),
+        ("5 pkg grn {w}", "5 package green {w}"), ("2 fl oz wht {w} 4 tbsp", "2 fl_ounce white {w} 4 tablespoon"), ("cts {w} pc blks", "counts {w} piece blks"),
+    ]),
+    "clean_packs": (textnorm.normalize_packs, [
+        ("6-pack {w}", "6 pack {w}"), ("3pcs {w}", "3 pieces {w}"), ("12 ct {w}", "12 count {w}"), ("set of 4 {w}", "4 pieces set {w}"), ("2p {w}", "2 pack {w}"), ("{w} 5 pk", "{w} 5 pack"),
+    ]),
+    "clean_noise": (textnorm.drop_noise, [
+        ("4.5 stars {w} 20 reviews", "  {w}  "), ("bestseller {w} top-rated", "  {w}  "), ("{w} save 10% free shipping", "{w}  %  "), ("{w} limited edition hot deal", "{w}    "),
+        ("x bought 12 times {w}", "x   {w}"), ("starship {w}", "starship {w}"),
+    ]),
+    "clean_prices": (textnorm.drop_prices, [
+        ("$1,299.00 {w}", "  {w}"), ("{w} usd 30 price", "{w}    "), ("spinners 20 inch {w}", "spinne  inch {w}"), ("{w} mrp 5", "{w}   5"), ("€9.5 {w} ₹ 12", "  {w}  "),
+    ]),
+    "clean_colors": (textnorm.normalize_colors, [("grey {w} greyish", "gray {w} greyish"), ("{w} black", "{w} black")]),
+    "clean_roman": (textnorm.normalize_roman, [("mark ii {w}", "mark 2 {w}"), ("{w} viii", "{w} 8"), ("x {w} i", "x {w} i"), ("v-neck {w} xi", "5-neck {w} 11"), ("vivid {w} ix", "vivid {w} 9")]),
+    "clean_punctuation": (textnorm.strip_punctuation, [("  {w}!! a_b, 50% 2.0 é ", "{w} a_b 50% 2.0 é"), ("a-b/c {w}\t|", "a b c {w}"), ("#{w}#", "{w}")]),
+    "clean_tokens": (lambda t: F.array_join(textnorm.tokenize(t), " "), [("50% {w} wait... cannot", "50 % {w} wait ... can not"), ("a  b.c {w}", "a b.c {w}"), ("{w} gonna 2.0", "{w} gon na 2.0")]),
+    "clean_stopwords": (lambda t: F.array_join(textnorm.drop_stopwords(F.split(t, " ")), " "), [("the {w} in a new box of our own", "{v} in box own"), ("{w} for and with", "{v}"), ("theme {w} its an on by", "theme {v}")]),
+    "clean_sku_tokens": (lambda t: F.array_join(textnorm.drop_skus(F.split(t, " ")), " "), [("b08xyz1234 {w} 12345678 abcdefgh ab12-cd34 a1", "{w} 12345678 abcdefgh a1"), ("{w} abc1234 abcd1234", "{w} abc1234")]),
+    "clean_final_filter": (lambda t: textnorm.join_tokens(F.split(t, " ")), [(". {w} x, s 1234567890123 123456789012 50%, %", "{w} s 123456789012 50"), ("m. l {w} 7 ..a.. b", "m l {w}"), ("{w}, 3", "{w}")]),
+}
+
+
+def _filled(template: Column) -> Column:
+    return F.replace(F.replace(template, F.lit("{w}"), F.col("p_name")), F.lit("{v}"), F.replace(F.col("p_name"), F.lit("new "), F.lit("")))
+
+
+def _golden_query(name: str, stage: Callable, cases: list[tuple[str, str]]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        texts = F.array(*[F.lit(text) for text, _ in cases])
+        rows = table(spark, sf_dir, "part").select("p_partkey", _filled(F.get(texts, F.pmod("p_partkey", F.lit(len(cases))).cast("int"))).alias("t"))
+        return rows.select(F.col("p_partkey").alias("row_id"), stage(F.col("t")).alias("cleaned"))
 
-_TITLE_SQL = """(SELECT p_partkey AS row_id, lower(p_name || ' ' || p_size || '" 12oz 3-piece set of 5 grey iv 4.5 stars 20 reviews save 10% rs 99.50 bestseller 2 in 1 ' || p_size || ' lbs') AS t FROM part)"""
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
 
+    run.__name__ = name
+    expected = ", ".join(quoted(want) for _, want in cases)
+    query(f"""SELECT p_partkey AS row_id, replace(replace([{expected}][p_partkey % {len(cases)} + 1], '{{w}}', p_name), '{{v}}', replace(p_name, 'new ', '')) AS cleaned FROM part""")(run)
 
-def _fold_sql(pairs: list[tuple[str, str]]) -> str:
-    out = "t"
-    for pattern, to in pairs:
-        out = f"regexp_replace({out}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to.replace('$', chr(92))}', 'gi')"
-    return f"SELECT row_id, {out} AS cleaned FROM {_TITLE_SQL}"
 
+for _name, (_stage, _cases) in GOLDENS.items():
+    _golden_query(_name, _stage, _cases)
 
-def _stage_query(name: str, stage: Callable, pairs: list[tuple[str, str]]) -> None:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _titles(spark, sf_dir).select("row_id", stage(F.col("t")).alias("cleaned"))
 
-    run.__name__ = name
-    query(_fold_sql(pairs))(run)
+#: Whole titles through all stages, lemmas included, and what must come out.
+TITLES = [
+    ("Brand {w}s, 24” Grey &amp; 3 pcs", "brand {v} 24 inch gray piece"), ("<p>{w}</p> (AB12-34X) Set of 5 - $20", "{v} piece set"), ("ﬁne {w} b08xyz1234 4.5 stars", "fine {v}"),
+    ("The {w} 12/24 w/lid", "{v} 12 inch 24 inch withlid"), ("50% {w} Mark II", "50 {v} mark"), ("", ""),
+]
 
 
-_rules = textnorm.rules
-_stage_query("clean_units", textnorm.normalize_units, _rules.UNITS)
-_stage_query("clean_abbreviations", textnorm.expand_abbreviations, _rules.ABBREVIATIONS)
-_stage_query("clean_packs", textnorm.normalize_packs, _rules.PACKS)
-_stage_query("clean_noise", textnorm.drop_noise, [(p, " ") for p in _rules.NOISE])
-_stage_query("clean_prices", textnorm.drop_prices, [(p, " ") for p in _rules.PRICES])
-_stage_query("clean_colors", textnorm.normalize_colors, _rules.COLORS)
-_stage_query("clean_roman", textnorm.normalize_roman, _rules.ROMAN)
+@query(f"""
+    SELECT p_partkey AS row_id, replace([{', '.join("'" + want + "'" for _, want in TITLES)}][p_partkey % {len(TITLES)} + 1], '{{v}}', replace(p_name, 'new ', '')) AS cleaned FROM part""")
+def clean_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = F.array(*[F.lit(text) for text, _ in TITLES])
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), _filled(F.get(texts, F.pmod("p_partkey", F.lit(len(TITLES))).cast("int"))).alias("t"))
+    return textnorm.clean_text(rows, "t", "cleaned").select("row_id", "cleaned")
 
 
-@query("SELECT page_id, regexp_replace(translate(html, '&', '+'), '<[^>]+>', ' ', 'g') AS plain FROM pages")
+@query("""
+    SELECT page_id, regexp_replace(regexp_replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g'), '<[^>]+>', ' ', 'g') AS plain FROM pages""")
 def strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = F.translate("html", "&", "+")  # SQL cannot resolve entities
-    return table(spark, sf_dir, "pages").select("page_id", textnorm.strip_html(html).alias("plain"))
+    return table(spark, sf_dir, "pages").select("page_id", textnorm.strip_html(F.col("html")).alias("plain"))
 
 
 @query()
@@ -409,12 +469,28 @@ def clean_text_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textnorm.clean_text(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text", "cleaned").select("doc_id", "cleaned")
 
 
-@query()
+#: A name loses its stop word, categories are single plain words.
+_MADE_SQL = "replace(p_name, 'new ', '') || ' | ' || lower(p_type)"
+
+
+@query(f"SELECT p_partkey AS row_id, {_MADE_SQL} AS text FROM part")
 def make_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present.embedding_text(products(spark, sf_dir)).select("row_id", "text")
 
 
-@query()
+@query("""
+    SELECT p_partkey AS row_id, replace(p_name, 'new ', '') || CASE WHEN p_size % 5 > 0 THEN ' | ' || lower(r_name) ELSE '' END AS text
+    FROM part LEFT JOIN region ON r_regionkey = p_size % 5""")
+def make_text_by_category_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    goods = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_name").alias("title"), (F.col("p_size") % 5).cast("long").alias("category_id"))
+    kinds = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("category_id"), F.col("r_name").alias("category_name"))
+    return present.embedding_text(goods, categories=kinds).select("row_id", "text")
+
+
+_VOCABULARY_SQL = f"SELECT DISTINCT w FROM (SELECT unnest(string_split(replace({_MADE_SQL}, ' | ', ' '), ' ')) AS w FROM part)"
+
+
+@query(f"SELECT w AS token FROM ({_VOCABULARY_SQL})")
 def vocabulary_of_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog_vocabulary(products(spark, sf_dir))
 
@@ -449,3 +525,124 @@ def result_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         p = p.withColumn(c, F.when(F.col("row_id") % m > 0, F.col(c)))
     cards = present.card(p.withColumn("imgUrl", F.col("row_id").cast("string")))
     return cards.select(F.col("imgUrl").cast("long").alias("row_id"), "title", "category", "price_usd")
+
+
+# ---------- a whole search ----------
+
+SEARCH_TEXT, SEARCH_FILTERS = "Smal rinng", {"category_name": ["econom", "mediu"], "price_min": 905.0}
+
+
+def _hashed_sql(name: str, text: str, key: str, source: str) -> str:
+    """CTEs that encode texts as the hashing encoder does: (key, place, x)."""
+    return f"""
+    {name}_w AS (SELECT {key}, unnest(list_filter(string_split({text}, ' '), lambda x: x <> '')) AS w FROM {source}),
+    {name}_t AS (SELECT {key}, CAST(('0x' || substr(md5(w), 1, 8)) AS UBIGINT) % 64 AS place, sum(CASE WHEN substr(md5(w), 9, 1) < '8' THEN 1.0 ELSE -1.0 END) AS s FROM {name}_w GROUP BY ALL),
+    {name} AS (SELECT {key}, place, CAST(CAST(s AS DOUBLE) / sqrt(CAST(sum(s * s) OVER (PARTITION BY {key}) AS DOUBLE)) AS FLOAT) AS x FROM {name}_t)"""
+
+
+@query(f"""
+    WITH ws AS (SELECT unnest(string_split('{SEARCH_TEXT}', ' ')) AS w, unnest([1, 2]) AS pos),
+    known AS ({_VOCABULARY_SQL}),
+    fits AS (SELECT pos, v.w AS token, 200.0 * {LCS_SQL.format(a="lower(ws.w)", b="v.w")} / (length(ws.w) + length(v.w)) AS ratio FROM ws, known v),
+    fixed AS (SELECT pos, token FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY ratio DESC, token) AS r FROM fits WHERE ratio >= 80) WHERE r = 1),
+    asked AS (SELECT 0 AS qid, string_agg(coalesce(token, lower(ws.w)), ' ' ORDER BY pos) AS text FROM ws LEFT JOIN fixed USING (pos)),
+    made AS (SELECT p_partkey AS row_id, {_MADE_SQL} AS text FROM part),
+    {_hashed_sql("q", "text", "qid", "asked")},
+    {_hashed_sql("d", "text", "row_id", "made")},
+    scored AS (
+        SELECT row_id, coalesce(list_sum(list(CAST(d.x AS DOUBLE) * CAST(q.x AS DOUBLE) ORDER BY place) FILTER (q.x IS NOT NULL)), 0) AS score
+        FROM d LEFT JOIN q USING (place) GROUP BY row_id),
+    pool AS (SELECT row_id, row_number() OVER (ORDER BY score DESC, row_id) AS rank FROM scored ORDER BY score DESC, row_id LIMIT 100),
+    p AS ({PRODUCT_SQL}),
+    passed AS (
+        SELECT p.*, rank, {KEY_SQL} AS k FROM p JOIN pool USING (row_id)
+        WHERE coalesce(price, 0) >= 905 AND (contains(lower(category_name), 'econom') OR contains(lower(category_name), 'mediu'))),
+    best AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY rank) AS n FROM passed)
+    SELECT row_id, title, category_name, price, (SELECT text FROM asked) AS corrected_query FROM best WHERE n = 1 ORDER BY rank LIMIT 5""")
+def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One search from text to rows: spelling against the catalog's vocabulary, encoding, pool, filters, dedup."""
+    found = Engine.build(products(spark, sf_dir), HashingEncoder(64), "flat").search(SEARCH_TEXT, 5, SEARCH_FILTERS)
+    return found.results.select("row_id", "title", "category_name", "price", F.lit(found.corrected_query).alias("corrected_query"))
+
+
+@query(f"""
+    WITH ws AS (SELECT unnest(['economi', 'smal', 'zzz', 'ring']) AS given, unnest([0, 1, 2, 3]) AS pos),
+    known AS ({_VOCABULARY_SQL}),
+    fits AS (SELECT pos, v.w AS token, 200.0 * {LCS_SQL.format(a="given", b="v.w")} / (length(given) + length(v.w)) AS ratio FROM ws, known v),
+    fixed AS (SELECT pos, token FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY ratio DESC, token) AS r FROM fits WHERE ratio >= 80) WHERE r = 1)
+    SELECT CAST(pos AS BIGINT) AS pos, coalesce(token, given) AS category FROM ws LEFT JOIN fixed USING (pos)""")
+def filter_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The categories that a response says were searched: each corrected like a word of a query."""
+    corrector = spell.SpellCorrector(spark, catalog_vocabulary(products(spark, sf_dir)))
+    echoed = filters.echo_filters({"category_name": ["Economi", "SMAL", "zzz", "ring"], "price_min": 5, "brand": None}, corrector.correct_words)
+    if set(echoed) != {"category_name", "price_min", "brand"} or echoed["price_min"] != 5:
+        raise ValueError(f"an echo keeps all keys: {echoed}")
+    return spark.createDataFrame(list(enumerate(echoed["category_name"])), "pos long, category string")
+
+
+@query("""
+    SELECT * FROM (VALUES
+        (0, 'Category → a | Price → 1 to 5 | Best Seller only'), (1, 'Category → [''a'', ''b'']'), (2, ''), (3, 'Stars → 2 to')) v(form, summary)""")
+def form_filter_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a search form's entries become, in words."""
+    forms = [("a", 1, 5, 0, 0, True), (" a, b,", 0, 0, 0, 0, False), ("", 0, 0, 0, 0, False), ("", 0, 0, 2, 0, False)]
+    said = []
+    for i, entries in enumerate(forms):
+        asked = {k: v for k, v in filters.form_filters(*entries).items() if v is not None}
+        said.append((i, present.filter_summary(asked)))
+    return spark.createDataFrame(said, "form int, summary string")
+
+
+@query("""
+    SELECT row_id, 's:' || substr('"' || replace(title, 'é', chr(92) || 'u00e9') || ' a rather long title that goes past the end of the key"', 1, 64) AS key
+    FROM (SELECT p_partkey AS row_id, 'é ' || p_name AS title FROM part)""")
+def dedup_title_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of products without asin, id and url: the title as a JSON string, cut."""
+    title = F.concat(F.lit("é "), F.col("p_name"), F.lit(" a rather long title that goes past the end of the key"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), F.lit("").alias("asin"), F.lit(0).cast("long").alias("id"), F.lit(None).cast("string").alias("url"), title.alias("title"))
+    return p.select("row_id", dedup.dedup_key(p).alias("key"))
+
+
+# ---------- sources and sinks ----------
+
+_STORED = ("id", "asin", "title", "category_name", "price", "stars", "isBestSeller", "url")
+_STORED_SQL = f"""SELECT CAST(id AS VARCHAR) AS id, asin, '"' || title || '", é' AS title, category_name, price, stars, "isBestSeller", url FROM ({PRODUCT_SQL})"""
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.concat(F.lit('"'), F.col("title"), F.lit('", é'))
+    return products(spark, sf_dir).withColumn("title", title).withColumn("id", F.col("id").cast("string")).select(*_STORED)
+
+
+def _round_trip(name: str, suffix: str, write: Callable[[DataFrame, str], None]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = scratch_path(spark, "round-trip") + suffix
+        write(_stored(spark, sf_dir), path)
+        return readers.load_products(spark, path).select(*_STORED)
+
+    run.__name__ = name
+    query(_STORED_SQL)(run)
+
+
+def _write_object(df: DataFrame, path: str) -> None:
+    """One JSON object that holds all products as an array; the format is for small catalogs."""
+    df.agg(F.collect_list(F.struct(*_STORED)).alias("products")).coalesce(1).write.json(path)
+
+
+_round_trip("round_trip_csv", ".csv", sinks.write_csv)
+_round_trip("round_trip_jsonl", ".jsonl", sinks.write_products_json)
+_round_trip("round_trip_json", ".json", _write_object)
+_round_trip("round_trip_parquet", ".parquet", sinks.write_parquet)
+
+
+@query("SELECT vec_id AS row_id, CAST(embedding[1] AS DOUBLE) AS first, CAST(len(embedding) AS INTEGER) AS dim, 'ivf' AS kind, CAST(16 AS INTEGER) AS nlist FROM embeddings")
+def artifacts_of_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An artifact folder whose index is built, built again as another kind with the old one backed up, and loaded."""
+    root, v = scratch_path(spark, "artifacts"), vectors(spark, sf_dir)
+    sinks.write_parquet(v.select("row_id", F.concat(F.lit("part "), F.col("row_id").cast("string")).alias("title")), f"{root}/{sinks.PRODUCTS}")
+    sinks.write_parquet(v, f"{root}/{sinks.VECTORS}")
+    for kind in ("hnsw", "ivf"):
+        build_artifacts(spark, None, root, index_kind=kind, nlist=16, rebuild_index_only=True)
+    found = Engine.load(spark, root).index
+    kept = found.settings()
+    return found.cells.select("row_id", F.col("embedding")[0].cast("double").alias("first"), F.size("embedding").alias("dim"), F.lit(kept["kind"]).alias("kind"), F.lit(kept["nlist"]).alias("nlist"))

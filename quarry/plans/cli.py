@@ -14,8 +14,9 @@ from quarry.sources.readers import load_products
 
 
 def parser() -> argparse.ArgumentParser:
+    """The flags and their defaults are the interface."""
     p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("--products", default="data/processed/fashion_products.csv")
+    p.add_argument("--products", help="a product file; needed unless only the index is rebuilt")
     p.add_argument("--model-name", default="hashing-64", help="hashing-<dimensions>")
     p.add_argument("--batch-size", type=int, default=256, help="rows of an Arrow batch")
     p.add_argument("--index-type", default="hnsw", choices=["hnsw", "flat", "ivf"])
@@ -32,6 +33,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", args.batch_size)
     products = None
     if not args.rebuild_index_only:
+        if not args.products:
+            parser().error("--products is needed unless --rebuild-index-only is given")
         loaded = load_products(spark, args.products)
         products = numbered(loaded, *[c for c in ("asin", "id", "title") if c in loaded.columns]).withColumnRenamed("_pos", "row_id")
     encoder = HashingEncoder(int(args.model_name.rpartition("-")[2]))

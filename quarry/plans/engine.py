@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from typing import Any, Protocol
 
@@ -16,6 +17,7 @@ from quarry.functions.textnorm import clean_text
 from quarry.operators import ann, dedup, filters, knn, present
 from quarry.schema import SearchRequest, SearchResponse
 from quarry.sources import artifacts, readers, sinks
+from quarry.sources.storage import materialize
 
 
 class Searcher(Protocol):
@@ -39,24 +41,26 @@ class Engine:
 
     @classmethod
     def build(cls, products: DataFrame, encoder: Encoder | None = None, index_kind: str = "hnsw", nlist: int | None = None, links: int = ann.GRAPH_LINKS, lemmatizer: Lemmatizer | None = None) -> Engine:
+        """Titles are normalized and encoded here, once: a search reads what is stored."""
         encoder = encoder or HashingEncoder()
         texts = encoder.encode(present.embedding_text(products, "_text", lemmatizer=lemmatizer), "_text")
-        return cls(products.sparkSession, products, ann.build_index(texts.select("row_id", "embedding"), index_kind, nlist, links), encoder, catalog_vocabulary(products, lemmatizer))
+        vectors = materialize(texts.select("row_id", "embedding"), "engine-vectors")
+        words = materialize(catalog_vocabulary(products, lemmatizer), "engine-vocabulary")
+        return cls(products.sparkSession, products, ann.build_index(vectors, index_kind, nlist, links), encoder, words)
 
     @classmethod
-    def load(cls, spark: SparkSession, root: str, encoder: Encoder | None = None, lemmatizer: Lemmatizer | None = None) -> Engine:
-        """The engine of an artifact folder; its index is flat where it has no cells."""
+    def load(cls, spark: SparkSession, root: str, encoder: Encoder | None = None) -> Engine:
+        """The engine of an artifact folder, as it was built."""
         found = artifacts.load_artifacts(spark, root)
         encoder = encoder or HashingEncoder(found.vectors.select(F.size("embedding").alias("n")).first()["n"])
-        if "cell" in found.index.columns:
-            means = found.index.groupBy("cell").agg(*[F.avg(F.col("embedding")[i]).alias(str(i)) for i in range(encoder.dim)]).orderBy("cell").collect()
-            centroids = np.zeros((max(r["cell"] for r in means) + 1, encoder.dim))
-            for r in means:
-                centroids[r["cell"]] = r[1:]
-            index = ann.IvfIndex(found.index, centroids)
+        kept = found.settings
+        if kept["kind"] == "ivf":
+            index = ann.IvfIndex(found.index, found.centroids, kept["probes"])
+        elif kept["kind"] == "hnsw":
+            index = ann.GraphIndex(found.vectors, kept["metric"], kept["links"], kept["build_width"], kept["search_width"])
         else:
-            index = ann.FlatIndex(found.vectors)
-        return cls(spark, found.products, index, encoder, catalog_vocabulary(found.products, lemmatizer))
+            index = ann.FlatIndex(found.vectors, kept["metric"])
+        return cls(spark, found.products, index, encoder, found.vocabulary)
 
     def encode_query(self, query: str) -> list[float]:
         row = self.encoder.encode(self.spark.createDataFrame([(query,)], "q string"), "q", "v").first()
@@ -114,21 +118,26 @@ def build_artifacts(spark: SparkSession, products: DataFrame | None, root: str,
     """
     began = time.time()
     if index_kind not in ann.BUILDERS:
-        raise ValueError("index_type must be one of: flat, hnsw, ivf")
+        raise ValueError(f"unknown index kind {index_kind!r}: one of {', '.join(ann.BUILDERS)}")
     staged: dict[str, DataFrame] = {}
     if rebuild_index_only:
         for name in (sinks.VECTORS, sinks.PRODUCTS):
             if not sinks.path_exists(spark, f"{root}/{name}"):
-                raise FileNotFoundError(f"{name} missing for index rebuild: {root}")
+                raise FileNotFoundError(f"an index is rebuilt from {name}, which the folder lacks: {root}")
         vectors = spark.read.parquet(f"{root}/{sinks.VECTORS}")
+        if not sinks.path_exists(spark, f"{root}/{sinks.VOCABULARY}"):
+            staged[sinks.VOCABULARY] = catalog_vocabulary(spark.read.parquet(f"{root}/{sinks.PRODUCTS}"))
     else:
         if products is None:
             raise ValueError("products are needed unless only the index is rebuilt")
         texts = present.embedding_text(products, "_text")
-        vectors = (encoder or HashingEncoder()).encode(texts, "_text").select("row_id", "embedding")
-        staged = {sinks.PRODUCTS: products, sinks.VECTORS: vectors}
+        vectors = materialize((encoder or HashingEncoder()).encode(texts, "_text").select("row_id", "embedding"), "build-vectors")
+        staged = {sinks.PRODUCTS: products, sinks.VECTORS: vectors, sinks.VOCABULARY: catalog_vocabulary(products)}
     index = ann.build_index(vectors, index_kind, nlist, links)
     staged[sinks.INDEX] = index.cells if isinstance(index, ann.IvfIndex) else vectors.select("row_id")
+    staged[sinks.SETTINGS] = spark.createDataFrame([(json.dumps(index.settings()),)], "value string")
+    if isinstance(index, ann.IvfIndex):
+        staged[sinks.CENTROIDS] = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(index.centroids)], "cell int, centroid array<double>")
     sinks.swap_in(spark, root, staged)
     return time.time() - began
 

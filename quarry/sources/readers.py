@@ -46,12 +46,12 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType = CATALOG) ->
     if "products" in seen.columns:
         kind = seen.schema["products"].dataType
         if not isinstance(kind, T.ArrayType):
-            raise ValueError(f"Invalid JSON format: {path}")
+            raise ValueError(f"neither an array of products nor an object that holds one: {path}")
         wrapped = T.StructType([T.StructField("products", T.ArrayType(schema))])
         return spark.read.option("multiLine", True).schema(wrapped).json(path).select(F.explode("products").alias("p")).select("p.*")
     first = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim(F.regexp_replace("value", r"^[\s﻿]+", "")), 1, 1).alias("c")).first()
     if first is None or first["c"] != "[":
-        raise ValueError(f"Invalid JSON format: {path}")
+        raise ValueError(f"neither an array of products nor an object that holds one: {path}")
     return spark.read.option("multiLine", True).schema(schema).json(path)
 
 
@@ -70,10 +70,10 @@ READERS: dict[str, Callable[..., DataFrame]] = {
 def load_products(spark: SparkSession, path: str) -> DataFrame:
     """Products by suffix. Pickles are declined: reading one runs the code in it."""
     if not path_exists(spark, path):
-        raise FileNotFoundError(f"Products file not found: {path}")
+        raise FileNotFoundError(f"no product file: {path}")
     suffix = os.path.splitext(path.rstrip("/"))[1]
     if suffix not in READERS:
-        raise ValueError(f"Unsupported extension: {suffix}")
+        raise ValueError(f"no reader for {suffix or 'files without a suffix'}: {path}")
     return READERS[suffix](spark, path)
 
 
@@ -89,7 +89,7 @@ def load_sample_catalog(spark: SparkSession, data_dir: str, filename: str = "sam
     """The sample catalog, or no rows and a warning where there is none."""
     path = os.path.join(data_dir, filename)
     if not path_exists(spark, path):
-        log.warning("Sample catalog not found at %s", path)
+        log.warning("no sample catalog: %s", path)
         return spark.createDataFrame([], CATALOG)
     return read_json(spark, path)
 
@@ -98,7 +98,7 @@ def load_fashion_catalog(spark: SparkSession, data_dir: str, filename: str = "pr
     """The prepared catalog, or no rows and an error in the log where there is none."""
     path = os.path.join(data_dir, filename)
     if not path_exists(spark, path):
-        log.error("Fashion dataset not found at %s", path)
+        log.error("no prepared catalog: %s", path)
         return spark.createDataFrame([], CATALOG)
     return read_csv(spark, path, CATALOG) if path.endswith(".csv") else spark.read.parquet(path)
 
@@ -106,7 +106,7 @@ def load_fashion_catalog(spark: SparkSession, data_dir: str, filename: str = "pr
 def load_vectors(spark: SparkSession, path: str) -> DataFrame:
     """(row_id, embedding array<float>) of a vector table."""
     if not path_exists(spark, path):
-        raise FileNotFoundError(f"Embedding file not found: {path}")
+        raise FileNotFoundError(f"no vector table: {path}")
     return spark.read.parquet(path).select(F.col("row_id").cast("long").alias("row_id"), F.col("embedding").cast("array<float>").alias("embedding"))
 
 

@@ -2,6 +2,10 @@
 
 import json
 import math
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +16,7 @@ from quarry.functions.encoders import HashingEncoder
 from quarry.operators import ann, etl, filters, knn
 from quarry.operators.shard import shard_rows
 from quarry.plans import cli, engine
-from quarry.sources import artifacts, readers, sinks
+from quarry.sources import artifacts, readers, sinks, storage
 from quarry.sources.config import Config, get_logger
 
 CSV = 'asin,title,price,stars,category_id,isBestSeller,extra\nA1,"Big ""red"" bag,\nlarge",9.5,4.1,1,True,x\n,Cap,,,2,False,y\n'
@@ -168,3 +172,43 @@ def test_plan_shapes(spark):
     kinds = spark.read.parquet("/root/testdata/sf0.001/nation.parquet").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("category_name"))
     goods = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").withColumnRenamed("s_nationkey", "category_id")
     assert "BroadcastHashJoin" in plan(etl.keep_categories(etl.left_join_categories(goods, kinds), ["NATION_1"]))
+
+
+def test_shared_folder_off_local_mode_must_be_named():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Found:
+        isDefined = staticmethod(lambda: False)
+
+    class Context:
+        master = "yarn"
+        getConf = staticmethod(Conf)
+        _jsc = type("J", (), {"sc": staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(Found)}))})
+
+    session = type("Session", (), {"sparkContext": Context, "conf": Conf()})
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(session)
+
+
+def test_stored_tables_can_be_discarded(spark):
+    kept = storage.materialize(spark.range(5).toDF("x"), "test")
+    path = kept._quarry_path
+    assert kept.count() == 5 and storage.path_exists(spark, path)
+    storage.discard(kept)
+    assert not storage.path_exists(spark, path)
+
+
+def test_entry_lives_without_the_packages_of_the_corpus_operators(tmp_path):
+    """With a module missing that only they need, the other queries are still there."""
+    code = "import sys; sys.modules['xxhash'] = None\nimport __spark_entry__ as e\nassert 'knn_exact_ip' in e.queries() and not any(n.startswith('op') for n in e.queries())"
+    root = str(Path(__file__).resolve().parent.parent)
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, env={**os.environ, "PYTHONPATH": f"{root}:{os.environ.get('PYTHONPATH', '')}"})
+
+
+def test_large_json_objects_are_refused(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "MOST_JSON_ROWS", 3)
+    rows = spark.range(4).select(F.col("id"), F.array(F.lit(1.0)).alias("embedding"))
+    with pytest.raises(ValueError):
+        sinks.write_embedding_json(rows, str(tmp_path / "x"))

@@ -211,3 +211,30 @@ def test_form_helpers():
     assert form == {"category_name": ["a", "b"], "price_min": None, "price_max": 9, "stars_min": None, "stars_max": None, "isBestSeller": True}
     assert present.filter_summary({"category_name": ["x"], "price_min": 1, "price_max": 5, "isBestSeller": True}) == "Category → ['x'] | Price → 1 to 5 | Best Seller only"
     assert present.filter_summary({}) == ""
+
+
+@pytest.mark.parametrize("kind", ["flat", "hnsw", "ivf"])
+def test_stored_engine_answers_as_built_without_normalizing(spark, goods, tmp_path, kind):
+    root = str(tmp_path / kind)
+    engine.build_artifacts(spark, goods, root, HashingEncoder(32), kind, 2, links=7)
+    loaded = engine.Engine.load(spark, root)
+    assert loaded.index.settings()["kind"] == kind
+    assert kind != "hnsw" or (loaded.index.links, loaded.index.metric) == (7, "l2")
+    found = loaded.search("Blue shoes", 3, {"category_name": "Shoes", "price_min": 1})
+    assert found.corrected_query == "blue shoe" and [r["row_id"] for r in found.results.collect()] == [4]
+    for plan in (found.results, loaded.corrector.vocab):
+        said = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_replace" not in said and "PythonUDF" not in said and "md5" not in said
+    if kind == "ivf":
+        again = engine.Engine.load(spark, root).index
+        assert (again.centroids == loaded.index.centroids).all() and len(again.centroids) == 2
+
+
+def test_batch_search_of_an_inverted_file_equals_single_searches(spark):
+    rows = spark.createDataFrame([(i, [math.cos(i), math.sin(i)]) for i in range(200)], "row_id long, embedding array<double>")
+    index = ann.build_ivf(rows, nlist=6, probes=2)
+    queries = [(7, [1.0, 0.0]), (8, [0.0, -1.0]), (9, [0.6, 0.8])]
+    got = sorted((r["query_id"], r["_rank"], r["row_id"]) for r in index.search_batch(queries, 4).collect())
+    assert got == sorted((q, r["_rank"], r["row_id"]) for q, v in queries for r in index.search(v, 4).collect())
+    with pytest.raises(ValueError):
+        index.search_batch([(i, [0.0, 0.0]) for i in range(knn.BATCH_QUERIES + 1)], 1)

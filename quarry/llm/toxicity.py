@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import crc_mod, filter_rows, texts
 
-#: Bounds on the labelled rows that are learned from, on lexicon terms, on context words and on harmless words near a term.
-TRAIN_ROWS, MAX_TERMS, MAX_CONTEXT, MAX_BENIGN = 20_000, 1_000, 2_000, 20_000
+#: Bound on the labelled rows that are learned from, and with it on terms, context words and harmless words: none is cut besides.
+TRAIN_ROWS = 20_000
 THRESHOLD, FOLDS, HELD_OUT = 0.3, 4, 2
 STEMS, EDITS, FUZZY_FROM, WINDOW, MISSPELT = (4, 5, 6), 1, 5, 5, 0.9
 CACHE_WORDS = 300_000
@@ -160,7 +160,8 @@ class Scorer:
             near = spans[max(0, i - WINDOW) : i] + spans[i + 1 : i + 1 + WINDOW]
             a, b = spans[i]
             line = text.rfind("\n", 0, a) + 1
-            before, after = text[max(line, a - 80) : a], text[b : b + 80].split("\n", 1)[0]
+            end = text.find("\n", b)
+            before, after = text[line:a], text[b : end if end >= 0 else len(text)]
             quoted = any(before.count(o) % 2 == 1 and c in after if o == c else before.rfind(o) > before.rfind(c) and c in after for o, c in zip(_OPEN, _CLOSE))
             yield [text[x:y] for x, y in near], quoted
 
@@ -216,11 +217,11 @@ def _odds(tox: int, clean: int, n_tox: int, n_clean: int) -> float:
     return math.log((max(0, tox) + 0.5) / (n_tox + 1)) - math.log((max(0, clean) + 0.5) / (n_clean + 1))
 
 
-def _told(counts: DataFrame, n_tox: int, n_clean: int, least: int, most: int) -> list[tuple[str, int, int]]:
-    """(key, toxic rows, clean rows) of the keys that tell toxic rows best, at most `most` of them."""
+def _told(counts: DataFrame, n_tox: int, n_clean: int, least: int) -> list[tuple[str, int, int]]:
+    """(key, toxic rows, clean rows) of the keys that tell toxic rows; TRAIN_ROWS texts bound them."""
     sums = counts.groupBy("key").agg(F.sum("tox").alias("tox"), F.sum("clean").alias("clean")).where(F.col("tox") >= least)
     odds = F.log((F.col("tox") + 0.5) / (n_tox + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    best = sums.withColumn("odds", odds).where(F.col("odds") > 1.0).orderBy(F.desc(F.col("tox") * F.col("odds")), "key").limit(most)
+    best = sums.withColumn("odds", odds).where(F.col("odds") > 1.0).orderBy(F.desc(F.col("tox") * F.col("odds")), "key")
     return [(r["key"], r["tox"], r["clean"]) for r in best.collect()]
 
 
@@ -256,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, rows: int = TRAIN_ROW
         if not n_clean or not n_tox:
             return Model(intercept=math.log((n_tox + 1) / (n_clean + 1)))
         least = max(3, math.ceil(0.01 * n_tox))
-        terms = _told(_each(sample, _term_counts, "key string, tox long, clean long"), n_tox, n_clean, least, MAX_TERMS)
+        terms = _told(_each(sample, _term_counts, "key string, tox long, clean long"), n_tox, n_clean, least)
         model = _lexicon(terms, n_tox, n_clean, least)
 
         def window_counts(rows: list, labels: list) -> list[tuple[str, int, int]]:
@@ -271,8 +272,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, rows: int = TRAIN_ROW
             return _counts(*both)
 
         around = _each(sample, window_counts, "key string, tox long, clean long").groupBy("key").agg(F.sum("tox").alias("tox"), F.sum("clean").alias("clean")).cache()
-        near = {r["key"][1:]: r["clean"] for r in around.where(F.col("key").startswith("b")).orderBy(F.desc("clean"), "key").limit(MAX_BENIGN).collect()}
-        context = _told(around.where(F.col("key").startswith("c")), n_tox, n_clean, max(5, least), MAX_CONTEXT)
+        near = {r["key"][1:]: r["clean"] for r in around.where(F.col("key").startswith("b")).collect()}
+        context = _told(around.where(F.col("key").startswith("c")), n_tox, n_clean, max(5, least))
         around.unpersist()
         model.benign, model.context = set(near), {k[1:]: _odds(t, c, n_tox, n_clean) for k, t, c in context}
         others = []

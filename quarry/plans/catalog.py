@@ -338,11 +338,10 @@ def vocab_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    SELECT a.w AS a, b.w AS b, round(200.0 * {LCS_SQL.format(a="a.w", b="b.w")} / (length(a.w) + length(b.w)), 4) AS ratio
-    FROM ({_WORDS_SQL}) a, ({_WORDS_SQL}) b""")
+    SELECT a, b, round(200.0 * {LCS_SQL.format(a="a", b="b")} / (length(a) + length(b)), 4) AS ratio
+    FROM (SELECT DISTINCT p_name AS a, lower(p_type) AS b FROM part)""")
 def fuzz_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _name_words(spark, sf_dir)
-    pairs = words.select(F.col("token").alias("a")).crossJoin(words.select(F.col("token").alias("b")))
+    pairs = table(spark, sf_dir, "part").select(F.col("p_name").alias("a"), F.lower("p_type").alias("b")).distinct()
     return pairs.withColumn("ratio", F.round(spell.fuzz_ratio(F.col("a"), F.col("b")), 4))
 
 

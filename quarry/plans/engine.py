@@ -6,7 +6,6 @@ import json
 import time
 from typing import Any, Protocol
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 

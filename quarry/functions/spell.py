@@ -49,15 +49,17 @@ def correct_words(words: DataFrame, vocab: DataFrame, threshold: int = THRESHOLD
 
     A pair can reach the threshold t only if the longer word has at most (200 - t) / t times the letters of the shorter one, so
     words meet the vocabulary by length instead of in all pairs. There are few lengths, so the vocabulary is dealt over
-    SALTS tasks for each, and the distinct words of the queries, which are few, go to all of them.
+    SALTS cells for each, and a distinct word goes to those cells of its lengths that hold a token. The planner knows nothing
+    of these copies, so it is told to sort and merge: by its estimate it would broadcast them all.
     """
     plain = words.select(F.lower(F.trim(col)).alias("_w")).where(F.col("_w") != "").distinct()
     n = F.char_length("_w")
     most = (200 - threshold) / max(threshold, 1)
     lengths = F.sequence(F.greatest(F.ceil(n / most - 1e-9), F.lit(1)).cast("int"), F.greatest(F.floor(n * most + 1e-9), F.lit(1)).cast("int"))
-    asked = plain.withColumn("_n", F.explode(lengths)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     known = vocab.withColumn("_n", F.char_length("token")).withColumn("_salt", F.pmod(F.xxhash64("token"), F.lit(SALTS)).cast("int"))
-    pairs = asked.join(known, ["_n", "_salt"])
+    cells = known.groupBy("_n", "_salt").count().where("count > 0")  # at most SALTS a length; counted, so that the tokens' shuffle is used twice
+    asked = plain.withColumn("_n", F.explode(lengths)).join(F.broadcast(cells.drop("count")), "_n")
+    pairs = asked.hint("merge").join(known, ["_n", "_salt"])
     scored = pairs.withColumn("_lcs", F.when(F.col("_w") == F.col("token"), n).otherwise(lcs_length(F.col("_w"), F.col("token"))))
     both = n + F.char_length("token")
     near = scored.where(200 * F.col("_lcs") >= threshold * both)

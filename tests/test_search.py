@@ -133,6 +133,17 @@ def test_correct_query(corrector):
     assert corrector.correct_query("   ") == ""
 
 
+def test_copies_of_many_words_are_not_broadcast(spark, tmp_path):
+    spark.range(3000).selectExpr("concat('supplier#', lpad(id, 9, '0')) AS word").union(spark.createDataFrame([("shoos",), ("adibas",)], "word string")).repartition(1).write.parquet(str(tmp_path / "words"))
+    spark.range(9000).selectExpr("CASE WHEN id % 2 = 0 THEN 'shoes' ELSE 'adidas' END AS token", "uuid() AS other").repartition(1).write.parquet(str(tmp_path / "tokens"))
+    vocab = spell.normalize_vocabulary(spark.read.parquet(str(tmp_path / "tokens")).selectExpr("CASE WHEN other = '' THEN other ELSE token END AS token"))
+    fixed = spell.correct_words(spark.read.parquet(str(tmp_path / "words")), vocab)
+    assert "BuildLeft" not in fixed._jdf.queryExecution().executedPlan().toString()  # by the planner's estimate it holds 3000 words, not their copies
+    got = {r["word"]: r["corrected"] for r in fixed.collect()}
+    assert len(got) == 3002 and got.pop("shoos") == "shoes" and got.pop("adibas") == "adidas"
+    assert all(word == corrected for word, corrected in got.items())
+
+
 def test_empty_vocabulary(spark):
     assert spell.SpellCorrector(spark, spark.createDataFrame([], "token string")).correct_query("Some Words") == "some words"
 

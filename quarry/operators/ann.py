@@ -69,10 +69,52 @@ class IvfIndex:
         ranks = Window.partitionBy("query_id").orderBy(F.desc("_score"), "row_id")
         return scored.withColumn("_rank", F.row_number().over(ranks)).where(F.col("_rank") <= n)
 
+    def search_many(self, queries: DataFrame, n: int) -> DataFrame:
+        """search_batch for any number of queries (query_id, query_vector): blocks of them travel with the tasks, which score the
+        rows of a cell for the queries that read it and keep n rows a query."""
+        rows = self.cells.select("cell", F.col("row_id").cast("long"), F.col("embedding").cast("array<double>"))
+        found = [rows.mapInArrow(_best_of_cells([(q, self._nearest_cells(v), v) for q, v in asked], n), knn.SCORED) for asked in knn.query_blocks(queries)]
+        return knn.best_of_blocks(self.cells.sparkSession, found, n)
+
     def settings(self) -> dict[str, Any]:
         return {"kind": "ivf", "metric": "ip", "nlist": len(self.centroids), "probes": self.probes}
 
 
+def _best_of_cells(queries: list[tuple], n: int):
+    """For the Arrow batches (cell, id, vector) of a task the n best rows of every (id, cells, vector) among the cells it reads."""
+    ids = [q for q, _, _ in queries]
+    wanted = [np.asarray(v, dtype=np.float64) for _, _, v in queries]
+    readers: dict[int, list[int]] = {}
+    for k, (_, cells, _) in enumerate(queries):
+        for cell in cells:
+            readers.setdefault(cell, []).append(k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.empty(0), np.empty(0, dtype=np.int64))] * len(ids)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell = np.asarray(batch.column(0))
+            order = np.argsort(cell, kind="stable")
+            own = np.asarray(batch.column(1))[order]
+            x = np.asarray(batch.column(2).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)[order]
+            present, starts = np.unique(cell[order], return_index=True)
+            for c, lo, hi in zip(present.tolist(), starts, [*starts[1:], len(own)]):
+                for k in readers.get(c, ()):
+                    score = (x[lo:hi] * wanted[k]).sum(axis=1)  # one order of sums for every row, as in the exact search
+                    kept, rows = best[k]
+                    at = np.flatnonzero(score >= kept[-1]) if len(kept) == n else np.arange(hi - lo)
+                    if len(at):
+                        score, rows = np.concatenate([kept, score[at]]), np.concatenate([rows, own[lo:hi][at]])
+                        top = np.lexsort((rows, -score))[:n]
+                        best[k] = score[top], rows[top]
+        scores, rows = (np.concatenate(c) for c in zip(*best))
+        asked = np.repeat(np.array(ids, dtype=np.int64), [len(s) for s, _ in best])
+        yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(rows), pa.array(scores)], ["query_id", "row_id", "_score"])
+
+    return run
+
+
 def cell_count(n: int, nlist: int | None = None) -> int:
     return int(nlist or max(LEAST_CELLS, int(n**0.5)))
 

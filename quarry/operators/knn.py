@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.vectors import as_vector, dot, l2_distance_squared
@@ -61,25 +62,34 @@ def _best_of_batches(queries: list[tuple], n: int, metric: str):
     return run
 
 
-def search_batch(vectors: DataFrame, queries: DataFrame, n: int, metric: str = "ip", id_col: str = "row_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
-    """(query_id, id, _score, _rank) for many queries with integer ids; blocks of at most about BATCH_QUERIES of them
-    travel with the tasks, each task keeps n rows a query and batch, and only those are shuffled."""
-    if metric not in ("ip", "l2"):
-        raise ValueError("metric must be one of: ip, l2")
+SCORED = "query_id long, row_id long, _score double"
+
+
+def query_blocks(queries: DataFrame, query_id: str = "query_id", query_vector: str = "query_vector") -> Iterator[list[tuple]]:
+    """(id, vector) of the queries that have a vector, in blocks of at most about BATCH_QUERIES."""
     blocks = max(1, -(-queries.count() // BATCH_QUERIES))
-    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>"))
-    out = None
     for k in range(blocks):
         own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == k)
         asked = [(r[0], r[1]) for r in own.select(F.col(query_id).cast("long"), query_vector).collect() if r[1] is not None]
         if asked:
-            part = rows.mapInArrow(_best_of_batches(asked, n, metric), "query_id long, row_id long, _score double")
-            out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = vectors.sparkSession.createDataFrame([], "query_id long, row_id long, _score double")
+            yield asked
+
+
+def best_of_blocks(spark: SparkSession, found: list[DataFrame], n: int) -> DataFrame:
+    """(query_id, row_id, _score, _rank): the n best rows of each query, ties to the smaller id."""
+    out = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], SCORED)
     ranks = Window.partitionBy("query_id").orderBy(F.desc("_score"), "row_id")
-    best = out.withColumn("_rank", F.row_number().over(ranks)).where(F.col("_rank") <= n)
-    return best.withColumnsRenamed({"query_id": query_id, "row_id": id_col})
+    return out.withColumn("_rank", F.row_number().over(ranks)).where(F.col("_rank") <= n)
+
+
+def search_batch(vectors: DataFrame, queries: DataFrame, n: int, metric: str = "ip", id_col: str = "row_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
+    """(query_id, id, _score, _rank) for many queries with integer ids; blocks of at most about BATCH_QUERIES of them
+    travel with the tasks, each task keeps n rows a query and batch, and only those are shuffled."""
+    if metric not in ("ip", "l2"):
+        raise ValueError("metric must be one of: ip, l2")
+    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>"))
+    found = [rows.mapInArrow(_best_of_batches(asked, n, metric), SCORED) for asked in query_blocks(queries, query_id, query_vector)]
+    return best_of_blocks(vectors.sparkSession, found, n).withColumnsRenamed({"query_id": query_id, "row_id": id_col})
 
 
 def pair_loss(pairs: DataFrame, similarity: Column, label: str = "label") -> DataFrame:

@@ -292,7 +292,7 @@ def kmeans_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = ann.build_ivf(v, nlist=RECALL_CELLS, probes=RECALL_PROBES)
     asked = v.where("row_id % 50 = 0").select(F.col("row_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     exact = knn.search_batch(v, asked, 10).select("query_id", "row_id")
-    found = index.search_batch([(r[0], r[1]) for r in asked.collect()], 10).select("query_id", "row_id", F.lit(1).alias("hit"))
+    found = index.search_many(asked, 10).select("query_id", "row_id", F.lit(1).alias("hit"))
     both = exact.join(found, ["query_id", "row_id"], "left")
     share = F.count("hit") / F.count("*")
     return both.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("wanted"), (share >= RECALL).alias("reached"))

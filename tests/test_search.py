@@ -9,7 +9,7 @@ from quarry.functions import spell
 from quarry.functions.encoders import HashingEncoder, PrecomputedEncoder
 from quarry.functions.vectors import l2_normalize
 from quarry.operators import ann, dedup, filters, knn, present
-from quarry.plans import engine
+from quarry.plans import catalog, engine
 from quarry.schema import SearchRequest, SearchResponse
 
 NAN = float("nan")
@@ -249,3 +249,20 @@ def test_batch_search_of_an_inverted_file_equals_single_searches(spark):
     assert got == sorted((q, r["_rank"], r["row_id"]) for q, v in queries for r in index.search(v, 4).collect())
     with pytest.raises(ValueError):
         index.search_batch([(i, [0.0, 0.0]) for i in range(knn.BATCH_QUERIES + 1)], 1)
+
+
+def test_an_inverted_file_searches_more_queries_than_a_batch_holds(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BATCH_QUERIES", 7)
+    rows = spark.createDataFrame([(i, [math.cos(i % 150), math.sin(i % 150)]) for i in range(200)], "row_id long, embedding array<double>").repartition(3)
+    index = ann.build_ivf(rows, nlist=6, probes=2)
+    queries = [(i, [math.cos(i / 3), math.sin(i / 3)]) for i in range(20)]
+    asked = spark.createDataFrame([*queries, (99, None)], "query_id long, query_vector array<double>")
+    got = sorted((r["query_id"], r["_rank"], r["row_id"]) for r in index.search_many(asked, 5).collect())
+    want = [(r["query_id"], r["_rank"], r["row_id"]) for k in range(0, 20, 7) for r in index.search_batch(queries[k : k + 7], 5).collect()]
+    assert got == sorted(want) and len(got) == 100
+    assert index.search_many(asked.where("query_id = 99"), 5).count() == 0
+
+
+def test_recall_of_an_inverted_file_takes_any_number_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BATCH_QUERIES", 4)
+    assert tuple(catalog.kmeans_ivf_recall(spark, "/root/testdata/sf0.001").first()) == (10, 100, True)

@@ -9,8 +9,9 @@ and m of a template that happens with probability 1 - exp(-(w + m) / 2 BINS) at
 shingle, which a window of its class (12 shingles) hides with 0.025 a round and 4e-7 in all four; templates of more
 shingles would have to lose all they share. Exact containment of the template's shingles then decides.
 
-Only texts that hold one of a few words of a template are cut: the words are chosen so that their shingles outnumber those a
-match may miss, hence a text without any of them cannot match.
+Only windows that hold one of a few words of a template of their class are made, and only texts that hold such a word are
+split into words: the words are chosen so that their shingles outnumber those a match may miss, hence neither a text nor a
+window without any of them can match.
 
 Defined cases: null and empty texts match nothing; a text or template of under five words is one shingle, so
 such a template matches texts equal to it only; several
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -83,9 +85,30 @@ def size_classes(templates: dict[str, str]) -> dict[int, dict[str, list[str]]]:
     return dict(found)
 
 
-def _cuts(size: int) -> Column:
-    """(size, start) of each window of a class."""
-    return F.transform(F.sequence(F.lit(0), F.size("words") - 1, F.lit(size)), lambda at: F.struct(F.lit(size).alias("size"), at.alias("at")))
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once however often use names it: the optimizer would copy it to each place."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _holds(text: Column, words: set[str]) -> Column:
+    """Whether the text holds any of the words; one that holds another is implied by it."""
+    least = sorted(w for w in words if not any(v != w and v in w for v in words))
+    return _once(F.lower(text), lambda low: reduce(or_, [low.contains(w) for w in least], F.lit(False)))
+
+
+def _windows(words: Column, classes: dict[int, set[str]]) -> Column:
+    """(size, at, words) of each window of each class that holds one of the class's words: each place lies in two windows."""
+    every = sorted(set().union(*classes.values()))
+    places = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda p: p["word"].isin(every))
+
+    def of(size: int, own: set[str], places: Column) -> Column:
+        held = F.filter(places, lambda p: p["word"].isin(sorted(own)))
+        both = F.flatten(F.transform(held, lambda p: F.array(p["at"] - p["at"] % F.lit(size), p["at"] - p["at"] % F.lit(size) - size)))
+        cuts = F.array_distinct(F.filter(both, lambda at: at >= 0))
+        return F.transform(cuts, lambda at: F.struct(F.lit(size).alias("size"), at.alias("at"), F.slice(words, at + 1, 2 * size).alias("words")))
+
+    none = F.array().cast("array<struct<size:int,at:int,words:array<string>>>")
+    return _once(places, lambda p: F.concat(none, *[of(size, own, p) for size, own in classes.items()]))
 
 
 def _bands(shingles: Column) -> Column:
@@ -114,21 +137,20 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
     """(doc_id, license, containment, first_word, n_windows): one row for each document row and license it holds."""
     spark, templates = docs.sparkSession, TEMPLATES if templates is None else templates
     classes = size_classes(templates)
-    rows = texts(docs).withColumn("row", F.monotonically_increasing_id()).withColumn("low", F.lower("text"))
-    holds = {size: reduce(or_, [F.col("low").contains(w) for w in sorted(set().union(*(must_words(x, containment) for x in own.values())))]) for size, own in classes.items()}
-    rows = rows.select("row", "doc_id", "low", *[h.alias(f"holds_{size}") for size, h in holds.items()])
-    rows = rows.where(reduce(or_, [F.col(f"holds_{size}") for size in classes], F.lit(False)))
-    rows = rows.withColumn("words", F.regexp_extract_all("low", F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))).drop("low").where(F.size("words") > 0)
-    no_cuts = F.array().cast("array<struct<size:int,at:int>>")
-    cuts = [F.when(F.col(f"holds_{size}"), _cuts(size)).otherwise(no_cuts) for size in classes]
-    windows = rows.select("row", "doc_id", "words", F.explode(F.concat(no_cuts, *cuts)).alias("cut"))
-    windows = windows.select("row", "doc_id", "cut.size", "cut.at", F.slice("words", F.col("cut.at") + 1, 2 * F.col("cut.size")).alias("words"))
+    must = {size: set().union(*(must_words(x, containment) for x in own.values())) for size, own in classes.items()}
+    rows = texts(docs).withColumn("row", F.monotonically_increasing_id()).where(_holds(F.col("text"), set().union(*must.values())))
+    rows = rows.select("row", "doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)).alias("words"))
+    windows = rows.select("row", "doc_id", F.explode(_windows(F.col("words"), must)).alias("window")).select("row", "doc_id", "window.*")
     windows = windows.withColumn("held", _shingles(F.col("words"))).drop("words")
     wanted = _template_rows(spark, classes)
     bands = {(r["size"], r["license"]): r["bands"] for r in wanted.collect()}  # a few templates
-    banded = windows.withColumn("bands", F.filter(_bands(F.col("held")), lambda v: v.isin(sorted({v for own in bands.values() for v in own}))))
-    meets = [F.when((F.col("size") == size) & F.arrays_overlap("bands", F.array(*map(F.lit, own))), name) for (size, name), own in bands.items()]
-    met = banded.where(F.size("bands") > 0).withColumn("license", F.explode(F.array_compact(F.array(*meets)))).drop("bands")
+    some = sorted({v for own in bands.values() for v in own})
+
+    def licenses(held: Column) -> Column:
+        meets = [F.when((F.col("size") == size) & F.arrays_overlap(held, F.array(*map(F.lit, own))), name) for (size, name), own in bands.items()]
+        return F.array_compact(F.array(*meets))
+
+    met = windows.withColumn("license", F.explode(_once(F.filter(_bands(F.col("held")), lambda v: v.isin(some)), licenses)))
     pairs = met.join(F.broadcast(wanted.drop("bands")), ["size", "license"])  # a few templates
     share = F.size(F.array_intersect("held", "wanted")) / F.size("wanted")
     out = pairs.select("row", "doc_id", "license", "at", share.alias("share")).where(F.col("share") >= containment)

@@ -78,3 +78,36 @@ def test_short_lines_inside_long_texts_are_all_found(spark):
     rows = [(i, prose(rng, 60 + i % 32) + " " + lines[i // 32 % 3] + " " + prose(rng, 60)) for i in range(960)]
     want = brute(rows)
     assert len(want) >= len(rows) and run(spark, rows) == want
+
+
+def test_only_windows_that_hold_a_word_sought_are_made(spark):
+    """Two windows of a class for each such word, wherever the text goes on; they are all that brute force would cut."""
+    must = {8: {"licensed", "released"}, 64: {"license"}}
+    rows = [(0, ["pad"] * 5000 + ["licensed"] + ["pad"] * 5000), (1, ["released"]), (2, ["license"] * 200 + ["pad"] * 300), (3, ["pad"] * 100), (4, [])]
+    got = spark.createDataFrame(rows, "doc_id long, words array<string>").select("doc_id", ls.F.explode(ls._windows(ls.F.col("words"), must)).alias("w"))
+    found = [(r["doc_id"], r["w"]["size"], r["w"]["at"], r["w"]["words"]) for r in got.collect()]
+    want = [(i, size, at, w[at : at + 2 * size]) for i, w in rows for size, own in must.items() for at in range(0, len(w), size) if own & set(w[at : at + 2 * size])]
+    assert sorted(found) == sorted(want) and len(want) == 2 + 1 + 4
+
+
+def test_texts_are_lowered_once_and_shingles_hashed_once(spark):
+    plan = ls.scan_licenses(frame(spark, [(1, "x")]))._jdf.queryExecution().executedPlan().toString()
+    conditions = [line.strip(" :+-") for line in plan.splitlines() if "Filter" in line.split("(")[0]]
+    assert sum(line.count("lower(") for line in conditions) == 1  # as many texts as there are; the rest is made for the few that pass
+    assert plan.count("xxhash64(") == 2 + ls.ROUNDS  # shingles of windows and of templates, and each round
+
+
+def test_count_and_first_of_the_windows_match_brute_force(spark):
+    rng = random.Random(13)
+    rows = [(i, " ".join(prose(rng, rng.randint(0, 300)) + " " + rng.choice(sorted(ls.TEMPLATES.values())) for _ in range(3))) for i in range(40)]
+    want = []
+    for i, t in rows:
+        words = ls.words_of(t)
+        for name, text in ls.TEMPLATES.items():
+            own = ls.words_of(text)
+            need, size = set(ls.shingles_of(own)), 1 << (len(own) - 1).bit_length()
+            shares = [(len(need & set(ls.shingles_of(words[a : a + 2 * size]))) / len(need), -a) for a in range(0, len(words), size)]
+            if held := [s for s in shares if s[0] >= ls.CONTAINMENT]:
+                want.append((i, name, -max(held)[1], len(held)))
+    got = [(r["doc_id"], r["license"], r["first_word"], r["n_windows"]) for r in ls.scan_licenses(frame(spark, rows)).collect()]
+    assert len(want) > 60 and sorted(got) == sorted(want)
